@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import mixing, sharding
+from orbweave.llm import exactdedup, mixing, packing, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,26 @@ def op8_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir))
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.dedup(_documents(spark, sf_dir))
+
+
+OP4_SQL = """
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n_chars, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', '', 'g')) AS text_sha256 FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id NULLS LAST) AS place FROM d)
+SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY place) AS keep_id,
+       CAST(count(*) OVER (PARTITION BY text_sha256) AS BIGINT) AS group_size, place = 1 AS kept, text_sha256 FROM r
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
+    "op3_pack_best_fit": op3_pack_best_fit,
+    "op4_exact_dedup": op4_exact_dedup,
     "op8_shard_slots": op8_shard_slots,
 }
-SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL}
+SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_exact_dedup": OP4_SQL}
