@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import exactdedup, mixing, packing, sharding
+from orbweave.llm import exactdedup, mixing, packing, sharding, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +59,27 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY place
 """
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.kept_digest(substrings.remove_repeats(_documents(spark, sf_dir)))
+
+
+OP9_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT rid, s, sha256(array_to_string(w[s : s + 34], ' ')) AS h FROM d, unnest(range(1, greatest(1, len(w) - 33))) AS t(s)),
+r AS (SELECT rid, s FROM x WHERE h IN (SELECT h FROM x GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT DISTINCT rid, p FROM r, unnest(range(s, s + 35)) AS t(p)),
+e AS (SELECT rid, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS p FROM d),
+k AS (SELECT e.rid, string_agg(v, ' ' ORDER BY e.p) AS kept, count(*) AS n FROM e ANTI JOIN g ON g.rid = e.rid AND g.p = e.p GROUP BY e.rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.rid = k.rid
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_pack_best_fit": op3_pack_best_fit,
     "op4_exact_dedup": op4_exact_dedup,
     "op8_shard_slots": op8_shard_slots,
+    "op9_substring_dedup": op9_substring_dedup,
 }
-SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_exact_dedup": OP4_SQL}
+SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op9_substring_dedup": OP9_SQL}
