@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import exactdedup, mixing, packing, sharding, substrings
+from orbweave.llm import exactdedup, jaccard, mixing, packing, sharding, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY place
 """
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(_documents(spark, sf_dir))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.kept_digest(substrings.remove_repeats(_documents(spark, sf_dir)))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_pack_best_fit": op3_pack_best_fit,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_shard_slots": op8_shard_slots,
     "op9_substring_dedup": op9_substring_dedup,
 }
