@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import exactdedup, jaccard, mixing, packing, sharding, substrings
+from orbweave.llm import exactdedup, hmm, jaccard, mixing, packing, sharding, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_hmm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_documents(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(_documents(spark, sf_dir))
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -80,6 +84,7 @@ FROM d LEFT JOIN k ON d.rid = k.rid
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm_score": op1_hmm_score,
     "op2_mix_sources": op2_mix_sources,
     "op3_pack_best_fit": op3_pack_best_fit,
     "op4_exact_dedup": op4_exact_dedup,
