@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import exactdedup, hmm, jaccard, mixing, packing, sharding, substrings
+from orbweave.llm import exactdedup, hmm, jaccard, mixing, packing, quality, sharding, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pack_best_fit": op3_pack_best_fit,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_quality_votes": op7_quality_votes,
     "op8_shard_slots": op8_shard_slots,
     "op9_substring_dedup": op9_substring_dedup,
 }
