@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import exactdedup, hmm, jaccard, mixing, packing, quality, sharding, substrings
+from orbweave.llm import exactdedup, hmm, html, jaccard, mixing, packing, quality, sharding, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,10 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY place
 """
 
 
+def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_documents(spark, sf_dir))
 
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op3_pack_best_fit": op3_pack_best_fit,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_extract_html": op5_extract_html,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_votes": op7_quality_votes,
     "op8_shard_slots": op8_shard_slots,
