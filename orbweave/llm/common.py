@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -200,6 +201,37 @@ def batches_of(rows: Iterable[dict], schema: pa.Schema, size: int = 2000) -> Ite
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A 64-bit key of a row's id and text: rows that share it are copies in both."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns. decided: key, kept for every row; of rows with equal keys one stays at most.
+
+    Rows whose key no dropped row has, nearly all, are passed on where they are; the others alone are joined. Which are
+    which is told by a Bloom filter of bounded size.
+    """
+    dropped = materialise(decided.filter(~F.col("kept")).select("key"), "dropped")
+    n = rows_of(dropped)
+    if n == 0:
+        return docs
+    bits = build_bloom(dropped, "key", n).bits
+
+    def doubtful(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bloom = Bloom(bits)
+        for k in keys:
+            yield pd.Series(bloom.has(k.to_numpy().astype(np.int64).view(np.uint64)), dtype="bool")
+
+    doubtful.__annotations__ = {"keys": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    marked = docs.withColumn("_row_key", row_key(id_col, text_col))
+    marked = marked.withColumn("_row_doubt", F.pandas_udf(doubtful, "boolean")("_row_key"))
+    kept = decided.filter("kept").select(F.col("key").alias("_row_key")).distinct()
+    some = marked.filter("_row_doubt").join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+    every = marked.filter(~F.col("_row_doubt")).unionByName(some)
+    return every.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def rows_of(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 

@@ -22,12 +22,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import SPACE, Bloom, build_bloom, join_skewed, materialise, rows_of
+from orbweave.llm.common import SPACE, Bloom, build_bloom, join_skewed, keep_rows, materialise, row_key, rows_of
 
 _DELETE = SPACE.encode()
 #: Blocks of a merged filter hold about so many fingerprints.
 BLOCK = 1 << 17
-_NARROW = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("fp", pa.int64()), ("sha", pa.binary())])
+_NARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_chars", pa.int64()), ("fp", pa.int64()), ("sha", pa.binary())])
 
 
 def normalised(text: str | None) -> bytes:
@@ -40,20 +40,20 @@ def fingerprint(norm: bytes) -> int:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_chars, fp, sha, and rid, a number for each row."""
+    """doc_id, key, n_chars, fp, sha, and rid, a number for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             chars, fps, shas = [], [], []
-            for v in b.column(1):
+            for v in b.column(2):
                 text = v.as_py() or ""
                 norm = normalised(text)
                 chars.append(len(text))
                 fps.append(fingerprint(norm))
                 shas.append(hashlib.sha256(norm).digest())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(chars, pa.int64()), pa.array(fps, pa.int64()), pa.array(shas, pa.binary())], schema=_NARROW)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chars, pa.int64()), pa.array(fps, pa.int64()), pa.array(shas, pa.binary())], schema=_NARROW)
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_chars long, fp long, sha binary")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, key long, n_chars long, fp long, sha binary")
     return narrow.withColumn("rid", F.monotonically_increasing_id())
 
 
@@ -132,8 +132,8 @@ def verified_texts(docs: DataFrame, repeated: Bloom, text_col: str = "text") ->
     return distinct.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "found").groupBy("fp", "sha").agg(F.sum("found").alias("found"), F.count(F.lit(1)).alias("texts"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for every row: the longest text stays, then the smallest id."""
+def grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The narrow rows with group_size, keep_id and keep_rid of groups of two and more."""
     narrow = materialise(digests(docs, id_col, text_col), "exact")
     n = rows_of(narrow)
     repeated = materialise(repeated_fingerprints(narrow, n), "exact-fp")
@@ -146,7 +146,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     groups = narrow.groupBy("fp", "sha").agg(F.count(F.lit(1)).alias("group_size"), F.min(best).alias("best")).filter("group_size > 1")
     verified = texts.filter("found > 1").select("fp", "sha")
     groups = materialise(groups.join(verified, ["fp", "sha"], "left_semi").select("sha", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid")), "exact-groups")
-    joined = join_skewed(narrow, groups, "sha", "group_size", n)
+    return join_skewed(narrow, groups, "sha", "group_size", n)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, key for every row: the longest text stays, then the smallest id."""
+    joined = grouped(docs, id_col, text_col)
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id",
@@ -154,4 +159,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (alone | (F.col("rid") == F.col("keep_rid"))).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        "key",
     )
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    return keep_rows(docs, materialise(dedup(docs, id_col, text_col).select("key", "kept"), "exact-kept"), id_col, text_col)

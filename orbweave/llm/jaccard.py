@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Bloom, Hashes, ascii_lower, buckets_of, build_bloom, join_skewed, materialise, mix, rows_of, split_by, window_hashes, words
+from orbweave.llm.common import Bloom, Hashes, ascii_lower, buckets_of, build_bloom, join_skewed, keep_rows, materialise, mix, row_key, rows_of, split_by, window_hashes, words
 from orbweave.llm.components import Union, connected_components
 
 #: Words in an n-gram, and the least similarity as a fraction.
@@ -115,14 +115,14 @@ def node_of(s: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-_SIGNED = "doc_id long, n long, node long, bucket long, sigs binary, at binary, nodes binary, sizes binary, bins binary"
+_SIGNED = "doc_id long, key long, n long, node long, bucket long, sigs binary, at binary, nodes binary, sizes binary, bins binary"
 _BLOBS = ["bucket", "sigs", "at", "nodes", "sizes", "bins"]
 
 
 def sign(docs: DataFrame, n: int, similarity: tuple[int, int], buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Two kinds of rows: (doc_id, n, node) of every document; with a bucket, blobs of the signatures that fall in it."""
+    """Two kinds of rows: (doc_id, key, n, node) of every document; with a bucket, blobs of the signatures that fall in it."""
     names = [x.split()[0] for x in _SIGNED.split(", ")]
-    kinds = [pa.int64()] * 4 + [pa.binary()] * 5
+    kinds = [pa.int64()] * 5 + [pa.binary()] * 5
 
     def batch(**columns: list) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -132,7 +132,7 @@ def sign(docs: DataFrame, n: int, similarity: tuple[int, int], buckets: int, id_
         hashes, bands, seen, held, count = Hashes(), Bands(similarity), set(), [], 0
         for b in batches:
             sizes, nodes = [], []
-            for v in b.column(1):
+            for v in b.column(2):
                 s = shingles(v.as_py(), n, hashes)
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
@@ -145,7 +145,7 @@ def sign(docs: DataFrame, n: int, similarity: tuple[int, int], buckets: int, id_
                     if count > 500_000:
                         yield out(held)
                         held, count = [], 0
-            yield batch(doc_id=b.column(0).to_pylist(), n=sizes, node=nodes)
+            yield batch(doc_id=b.column(0).to_pylist(), key=b.column(1).to_pylist(), n=sizes, node=nodes)
         if held:
             yield out(held)
 
@@ -160,7 +160,7 @@ def sign(docs: DataFrame, n: int, similarity: tuple[int, int], buckets: int, id_
                 columns[c].append(v)
         return batch(**columns)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _SIGNED)
+    return docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), F.col(text_col)).mapInArrow(run, _SIGNED)
 
 
 def near(sizes: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
@@ -319,12 +319,12 @@ def candidate_sets(docs: DataFrame, members: Bloom, n: int, text_col: str) -> Da
 
 
 def components(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
+    """doc_id, n_shingles, component_id and the row's key for every row."""
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     num, den = similarity
     buckets = max(1, int(total / 6 * 4 * (den - num) / (den + num)) // BUCKET)
     signed = materialise(sign(docs, n, similarity, buckets, id_col, text_col), "partenum")
-    narrow = signed.filter("bucket is null").select("doc_id", "n", "node")
+    narrow = signed.filter("bucket is null").select("doc_id", "key", "n", "node")
     classes = materialise(connected_components(materialise(candidate_links(signed, similarity), "partenum-links")), "partenum-classes")
     nodes = narrow.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
     nodes = materialise(nodes, "partenum-nodes")
@@ -357,4 +357,19 @@ def components(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SI
     named = materialise(join_skewed(linked.select("node", "copies", "root"), smallest, "root", "members", rows_of(nodes)), "jaccard-classes")
     named = named.select("node", "copies", "component_id")
     joined = join_skewed(narrow, named, "node", "copies", rows_of(narrow))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key")
+
+
+def one_of_each(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with the smallest id of their component, one of each component, with all their columns.
+
+    Rows without words are no copies of each other and stay.
+    """
+    found = materialise(components(docs, n, similarity, id_col, text_col), "jaccard-rows")
+    worded = F.col("n_shingles") > 0
+    first = found.filter(worded & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("key"))
+    kept = first.select("key").unionByName(found.filter(~worded).select("key")).distinct().withColumn("kept", F.lit(True))
+    decided = found.select("key").join(kept, "key", "left").select("key", F.coalesce("kept", F.lit(False)).alias("kept"))
+    # of rows that are copies in id and text one stays: a second is as good as dropped
+    again = decided.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.lit(False).alias("kept"))
+    return keep_rows(docs, decided.unionByName(again), id_col, text_col)

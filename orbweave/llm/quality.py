@@ -165,3 +165,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     votes = fit(docs, labels, id_col, text_col, label_col)
     scored = docs.withColumn("quality_score", score_column(votes, F.coalesce(F.col(text_col), F.lit(""))))
     return scored.withColumn("quality_predicted", F.when(F.col("quality_score") >= threshold, 1).otherwise(0))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject, with all their columns."""
+    scored = classify(docs.select("*"), labels, **columns)
+    return scored.filter("quality_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

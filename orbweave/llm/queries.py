@@ -52,7 +52,7 @@ def op3_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exactdedup.dedup(_documents(spark, sf_dir))
+    return exactdedup.dedup(_documents(spark, sf_dir)).drop("key")
 
 
 OP4_SQL = """
@@ -68,7 +68,7 @@ def op5_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(_documents(spark, sf_dir))
+    return jaccard.components(_documents(spark, sf_dir)).drop("key")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
