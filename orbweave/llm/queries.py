@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import exactdedup, hmm, html, jaccard, mixing, packing, quality, sharding, substrings
+from orbweave.llm import exactdedup, hmm, html, jaccard, media, mixing, packing, quality, sharding, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +87,12 @@ FROM d LEFT JOIN k ON d.rid = k.rid
 """
 
 
+def op10_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images: each embedding is drawn as one."""
+    drawn = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", media.render(F.col("embedding")).alias("image"))
+    return media.copies(drawn, "vec_id", "image").withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_score": op1_hmm_score,
     "op2_mix_sources": op2_mix_sources,
@@ -97,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_votes": op7_quality_votes,
     "op8_shard_slots": op8_shard_slots,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_image_copies": op10_image_copies,
 }
 SQL: dict[str, str] = {"op2_mix_sources": OP2_SQL, "op4_exact_dedup": OP4_SQL, "op9_substring_dedup": OP9_SQL}
