@@ -5,8 +5,9 @@ order the prefix sums of the expected copies, plus one random offset a source, c
 emitted once for each integer that its step crosses. Whole documents are taken, 0 to 2 times.
 
 All of it is DataFrame operations. Texts are read once, to count words; what is shuffled is a narrow table.
-A source is cut into blocks of documents (by a hash of the id), so that no task holds a whole source: the
-order is by block, then by size within a block, and blocks carry on their predecessors' prefix sum.
+A source is cut into as many blocks of documents (by a hash of the id) as its number of documents asks for, so
+that no task holds a whole source: the order is by block, then by size within a block, and blocks carry on their
+predecessors' prefix sum.
 
 Defined cases: null and empty texts have size 0 and count as documents; null sources are one source, ranked
 last; repeated rows are separate documents; a null doc_id is ordered as 0; an empty table gives no rows; a
@@ -18,14 +19,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import WORD, materialise, text_or_empty
+from orbweave.llm.common import WORD, materialise, row_key, text_or_empty
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
 #: All sources together get this share of all words; one gets `MOST` times its size at most.
 SHARE, MOST = 1.5, 2
-#: Documents in a block, on average over all sources.
-BLOCK = 8192
+#: Documents in a block, about.
+BLOCK = 2048
 #: Of the generator x -> x * A mod P that orders documents and makes offsets.
 A, P = 48271, 2147483647
 
@@ -35,9 +36,9 @@ def word_count(text: Column) -> Column:
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size and h, a fixed pseudo-random number of the id."""
+    """doc_id, source, size, the row's key and h, a fixed pseudo-random number of the id."""
     h = F.pmod(F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.lit(P)) * A + 12345, F.lit(P))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size")).withColumn("h", h)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"), row_key(id_col, text_col).alias("key")).withColumn("h", h)
 
 
 def targets(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -62,38 +63,28 @@ def targets(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often the mix takes each document."""
+    """doc_id, source, size, source_size, target, copies, key: how often the mix takes each document."""
     narrow = materialise(sizes(docs, id_col, text_col, source_col), "mixing")
     by_source = targets(narrow, weights, share, most)
-    n = narrow.agg(F.count(F.lit(1))).first()[0]
-    blocks = max(1, -(-n // block))
-    dealt = narrow.withColumn("block", F.pmod("h", F.lit(blocks)))
+    of = by_source.select(F.col("source").alias("of"), "source_size", "target", "offset", F.greatest(F.lit(1), F.ceil(F.col("docs") / block)).cast("long").alias("blocks"))
+    dealt = narrow.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", F.pmod("h", "blocks"))
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = dealt.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    starts = starts.join(by_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "n")
-    starts = starts.select(F.col("source").alias("of"), F.col("block").alias("in"), "start", "source_size", "target", "docs", "offset")
+    starts = dealt.groupBy("source", "block").agg(F.count(F.lit(1)).alias("n")).select(F.col("source").alias("of"), F.col("block").alias("in"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     place = F.row_number().over(Window.partitionBy("source", "block").orderBy("size", "h", "doc_id"))
-    # the starts hold a row for each source and block: rows / 8192 + sources
+    # the starts hold a row for each source and block: rows / 2048 + sources
     placed = dealt.withColumn("place", place).join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("in"))).withColumn("place", F.col("start") + F.col("place"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(F.col("place") * rate + F.col("offset")) - F.floor((F.col("place") - 1) * rate + F.col("offset"))
-    return placed.select("doc_id", "source", "size", "source_size", "target", crossed.cast("int").alias("copies"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", crossed.cast("int").alias("copies"), "key")
 
 
 def mixed_documents(docs: DataFrame, **columns: str) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken.
+    """The mix itself: the rows of docs with all their columns, each as often as it is taken.
 
-    Rows find their number of copies by id and size; repeated ids take the mean over them, the first rows
-    of equal ids getting the rest.
+    Rows that are copies in id and text are one row, taken as often as they are together.
     """
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
-    taken = mix(docs, **columns).groupBy(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size")).agg(F.sort_array(F.collect_list("copies"), asc=False).alias("_mix_copies"))
-    rows = docs.withColumn("_mix_words", word_count(text_or_empty(text_col)))
-    source = F.col(columns.get("source_col", "source"))
-    joined = rows.join(taken, F.col(id_col).eqNullSafe(F.col("_mix_id")) & (F.col("_mix_words") == F.col("_mix_size")) & source.eqNullSafe(F.col("_mix_source")))
-    # ids that occur once, nearly all, need no window
-    once = joined.filter(F.size("_mix_copies") == 1).withColumn("_mix_n", F.element_at("_mix_copies", 1))
-    nth = F.row_number().over(Window.partitionBy("_mix_id", "_mix_source", "_mix_size").orderBy(F.hash(F.col(text_col))))
-    more = joined.filter(F.size("_mix_copies") > 1).withColumn("_mix_nth", nth).withColumn("_mix_n", F.element_at("_mix_copies", F.col("_mix_nth"))).drop("_mix_nth")
-    both = once.unionByName(more)
-    return both.filter("_mix_n > 0").withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    taken = mix(docs, **columns).groupBy(F.col("key").alias("_mix_key")).agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows"))
+    joined = docs.withColumn("_mix_key", row_key(id_col, text_col)).join(taken.filter("_mix_copies > 0"), "_mix_key")
+    one = joined.filter("_mix_rows = 1").unionByName(joined.filter("_mix_rows > 1").dropDuplicates(["_mix_key"]))
+    return one.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,14 +34,18 @@ l AS (SELECT *, (total - coalesce(sum(most) OVER (ORDER BY ratio, rank ROWS BETW
              sum(weight) OVER (ORDER BY ratio, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT source, source_size, docs, least(most, weight * (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio)) AS target,
              ((rank + 1) * 1000003 % 2147483647 * 48271) % 2147483647 / 2147483647.0::DOUBLE AS u FROM l),
-b AS (SELECT greatest(1, (count(*) + 8191) // 8192) AS blocks FROM d),
-p AS (SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY h % (SELECT blocks FROM b), size, h, doc_id) AS place FROM d),
-q AS (SELECT p.*, source_size, target, u, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate
-      FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
+p AS (SELECT d.*, source_size, target, u, row_number() OVER (PARTITION BY d.source ORDER BY h % ((docs + 2047) // 2048), size, h, doc_id) AS place
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM p)
 SELECT doc_id, size, source_size, target, CAST(floor(place * rate + u) - floor((place - 1) * rate + u) AS BIGINT) * size AS taken FROM q
 """
 
 
+def op7_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
 def op8_shard_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = sharding.shard(_documents(spark, sf_dir))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("position").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
