@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,8 +16,6 @@ from pyspark.sql import functions as F
 #: The white space of every contract: space and U+0009 to U+000D.
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
-_OTHER_SPACE = re.compile("[\x09-\x0d]")
-_UPPER = {c: c + 32 for c in range(65, 91)}
 
 #: Where tables go if the session names no shared folder (tests only).
 FALLBACK_DIR = "file:///tmp/checkpoints/orbweave"
@@ -43,18 +40,21 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def words(text: str | None) -> list[str]:
-    """Maximal runs of characters outside SPACE."""
-    if not text:
-        return []
-    if _OTHER_SPACE.search(text):
-        text = text.translate({9: 32, 10: 32, 11: 32, 12: 32, 13: 32})
-    return [w for w in text.split(" ") if w]
+def words(data: bytes | str | None) -> list[bytes]:
+    """Maximal runs of bytes outside SPACE of a UTF-8 text: bytes.split() knows just these as white space."""
+    if isinstance(data, str):
+        data = data.encode("utf-8", "surrogatepass")
+    return data.split() if data else []
 
 
-def ascii_lower(text: str) -> str:
-    """Lower-cases A to Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(_UPPER)
+def lower_words(data: bytes | None) -> list[bytes]:
+    """words() with A to Z in lower case and nothing else changed."""
+    return data.lower().split() if data else []
+
+
+def as_bytes(text_col: str) -> Column:
+    """A text column as the bytes that it is stored in, which spares decoding them."""
+    return F.col(text_col).cast("binary")
 
 
 class Hashes(dict):
@@ -64,27 +64,28 @@ class Hashes(dict):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
-    def array(self, tokens: list[str]) -> np.ndarray:
+    def array(self, tokens: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, tokens), np.uint64, len(tokens))
 
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = {0: np.ones(1, np.uint64)}
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: dict[np.uint64, np.ndarray] = {}
 
 
-def _powers(n: int) -> np.ndarray:
-    """_BASE to the powers 0 to n-1 modulo 2^64."""
-    have = _POWERS[0]
-    if len(have) < n:
-        more = np.full(max(n, 2 * len(have)), _BASE, np.uint64)
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base to the powers 0 to n-1 modulo 2^64."""
+    have = _POWERS.get(base)
+    if have is None or len(have) < n:
+        more = np.full(max(n, 1 << 18), base, np.uint64)
         more[0] = 1
-        have = _POWERS[0] = np.multiply.accumulate(more)
+        have = _POWERS[base] = np.multiply.accumulate(more)
     return have[:n]
 
 
@@ -106,12 +107,9 @@ def window_hashes(h: np.ndarray, length: int) -> np.ndarray:
             out = out * _BASE + h[j : j + n]
         return mix(out)
     # prefix sums of h[i] * B^(-i): a run's sum times B^(its end) doesn't depend on where it is
-    inverse = pow(int(_BASE), -1, 1 << 64)
-    falling = np.full(len(h), inverse, np.uint64)
-    falling[0] = 1
-    falling = np.multiply.accumulate(falling)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * falling, dtype=np.uint64)])
-    return mix((sums[length:] - sums[:n]) * _powers(len(h))[:n])
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(_INVERSE, len(h)), dtype=np.uint64, out=sums[1:])
+    return mix((sums[length:] - sums[:n]) * _powers(_BASE, n))
 
 
 class Bloom:

@@ -22,13 +22,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Hashes, ascii_lower, buckets_of, materialise, split_by, words
+from orbweave.llm.common import Hashes, as_bytes, buckets_of, lower_words, materialise, split_by
 
 HOT, CLASSES, STATES, ROUNDS, WINDOW = 1 << 17, 256, 8, 3, 256
 #: Words whose neighbours start the states, and the neighbours looked at.
@@ -43,14 +45,13 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == FOLD
 
 
-def spelling(word: str) -> int:
-    """A class of rare words: by their first character beyond ASCII and their last two letters."""
-    odd = next((c for c in word if c > "\x7f"), "")
-    return xxhash.xxh32_intdigest(f"{odd}{word[-2:]}".encode("utf-8", "surrogatepass")) % CLASSES
+_BEYOND = re.compile(rb"[\x80-\xff]{1,2}")
 
 
-def _tokens(text: str | None) -> list[str]:
-    return words(ascii_lower(text)) if text else []
+def spelling(word: bytes) -> int:
+    """A class of rare words: by their first bytes beyond ASCII and their last two."""
+    odd = _BEYOND.search(word)
+    return xxhash.xxh32_intdigest((odd[0] if odd else b"") + word[-2:]) % CLASSES
 
 
 def sum_parts(df: DataFrame, dtype: str) -> dict[int, np.ndarray]:
@@ -83,19 +84,19 @@ def count_words(texts: DataFrame, buckets: int) -> DataFrame:
     """bucket, blob: sorted hashes of the words with counts and spelling classes; all words of all texts given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
+        counts: dict[bytes, int] = {}
         for b in batches:
             for v in b.column(0):
-                for w in _tokens(v.as_py()):
+                for w in lower_words(v.as_py()):
                     counts[w] = counts.get(w, 0) + 1
                 if len(counts) > 500_000:
                     yield from out(counts)
                     counts = {}
         yield from out(counts)
 
-    def out(counts: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    def out(counts: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
         rows = np.zeros(len(counts), _COUNTS)
-        rows["h"] = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in counts), np.uint64, len(counts))
+        rows["h"] = np.fromiter((xxhash.xxh64_intdigest(w) for w in counts), np.uint64, len(counts))
         rows["c"] = np.fromiter(counts.values(), np.int64, len(counts))
         rows["s"] = np.fromiter(map(spelling, counts), np.uint16, len(counts))
         parts = list(split_by(buckets_of(rows["h"], buckets), rows))
@@ -165,10 +166,10 @@ class Codes(dict):
         super().__init__()
         self.hot, self.first_class, self.limit = hot, first_class, limit
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh64_intdigest(word)
         code = self.hot.get(h)
         code = self[word] = self.first_class + spelling(word) if code is None else code
         return code
@@ -186,13 +187,13 @@ def encode(docs: DataFrame, alpha: Alphabet, id_col: str, text_col: str) -> Data
                 part = b.slice(k, 1000)
                 codes, rare = [], []
                 for v in part.column(2):
-                    tokens = _tokens(v.as_py())
+                    tokens = lower_words(v.as_py())
                     c = np.fromiter(map(codes_of.__getitem__, tokens), np.uint32, len(tokens))
                     rare.append(hashes.array([tokens[i] for i in np.flatnonzero(c >= first).tolist()]).tobytes())
                     codes.append(np.append(c, np.uint32(end)).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(codes, pa.binary()), pa.array(rare, pa.binary())], names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), as_bytes(text_col))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, codes binary, rare binary").withColumn("rid", F.monotonically_increasing_id())
 
 
@@ -393,7 +394,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     training = docs.filter(~held_out(F.col(id_col)))
     sums = training.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
     buckets = max(1, (sums[1] or 0) // 6 // (4 * BUCKET))
-    vocabulary = materialise(count_words(training.select(F.col(text_col)), buckets), "hmm-words")
+    vocabulary = materialise(count_words(training.select(as_bytes(text_col)), buckets), "hmm-words")
     alpha = alphabet(vocabulary, sums[0], hot)
     encoded = materialise(encode(docs, alpha, id_col, text_col), "hmm-codes")
     learnt = encoded.filter("not held_out")

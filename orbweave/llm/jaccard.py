@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Bloom, Hashes, ascii_lower, buckets_of, build_bloom, join_skewed, keep_rows, materialise, mix, row_key, rows_of, split_by, window_hashes, words
+from orbweave.llm.common import Bloom, Hashes, as_bytes, buckets_of, build_bloom, join_skewed, keep_rows, lower_words, materialise, mix, row_key, rows_of, split_by, window_hashes
 from orbweave.llm.components import Union, connected_components
 
 #: Words in an n-gram, and the least similarity as a fraction.
@@ -43,9 +43,9 @@ RATIO, LIGHT, BINS, BUCKET = 1.25, 2, 32, 1 << 20
 CHUNK = 6_000_000
 
 
-def shingles(text: str | None, n: int, hashes: Hashes) -> np.ndarray:
+def shingles(text: bytes | None, n: int, hashes: Hashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams."""
-    h = hashes.array(words(ascii_lower(text))) if text else np.zeros(0, np.uint64)
+    h = hashes.array(lower_words(text))
     if not len(h):
         return h
     return np.unique(window_hashes(h, min(n, len(h))))
@@ -160,7 +160,7 @@ def sign(docs: DataFrame, n: int, similarity: tuple[int, int], buckets: int, id_
                 columns[c].append(v)
         return batch(**columns)
 
-    return docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), F.col(text_col)).mapInArrow(run, _SIGNED)
+    return docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), as_bytes(text_col)).mapInArrow(run, _SIGNED)
 
 
 def near(sizes: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
@@ -315,7 +315,7 @@ def candidate_sets(docs: DataFrame, members: Bloom, n: int, text_col: str) -> Da
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "feats"])
 
-    return docs.select(F.col(text_col)).mapInArrow(run, "node long, feats binary")
+    return docs.select(as_bytes(text_col)).mapInArrow(run, "node long, feats binary")
 
 
 def components(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

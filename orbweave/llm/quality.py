@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import words
+from orbweave.llm.common import as_bytes, words
 
 LABELLED, NEIGHBOURS, LATENT, FEATURES = 4096, 15, 48, 1024
 #: Rows whose crc32(doc_id as text) mod FOLDS is 0 are never learnt from.
@@ -50,14 +50,14 @@ def shape(word: str) -> str:
 
 
 class Shapes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= 400_000:
             self.clear()
-        value = self[word] = zlib.crc32(shape(word).encode("utf-8", "surrogatepass")) % _REPEAT
+        value = self[word] = zlib.crc32(shape(word.decode("utf-8", "replace")).encode()) % _REPEAT
         return value
 
 
-def features(text: str | None, shapes: Shapes) -> np.ndarray:
+def features(text: bytes | str | None, shapes: Shapes) -> np.ndarray:
     """Square roots of feature shares; all 0 for a text without words."""
     ws = words(text)
     x = np.zeros(FEATURES, np.float32)
@@ -84,7 +84,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["feature", "df"])
 
     out = np.zeros(FEATURES + 1, np.int64)
-    for r in docs.select(F.col(text_col)).mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect():
+    for r in docs.select(as_bytes(text_col)).mapInArrow(run, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect():
         out[r.feature] = r.df
     return out[:-1], int(out[-1])
 
@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.binary())], ["id", "label", "x"])
 
     # the sample has `labelled` rows at most
-    texts = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(F.col("_id").cast("long"), "_label", F.col(text_col))
+    texts = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(F.col("_id").cast("long"), "_label", as_bytes(text_col))
     rows = texts.mapInArrow(run, "id long, label int, x binary").groupBy("id").agg(F.min(F.struct("x", "label")).alias("m")).orderBy("id").collect()
     x = np.array([np.frombuffer(r.m.x, np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
     y = np.array([r.m.label for r in rows], np.float64)
@@ -163,7 +163,7 @@ def score_column(votes: Votes, text: Column, block: int = 512) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """All columns of docs, with quality_score and quality_predicted."""
     votes = fit(docs, labels, id_col, text_col, label_col)
-    scored = docs.withColumn("quality_score", score_column(votes, F.coalesce(F.col(text_col), F.lit(""))))
+    scored = docs.withColumn("quality_score", score_column(votes, F.coalesce(as_bytes(text_col), F.lit(b""))))
     return scored.withColumn("quality_predicted", F.when(F.col("quality_score") >= threshold, 1).otherwise(0))
 
 
