@@ -22,6 +22,7 @@ columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Bloom, Hashes, buckets_of, build_bloom, materialise, mix, rows_of, split_by, window_hashes, words
+from orbweave.llm.common import Bloom, Hashes, as_bytes, buckets_of, build_bloom, materialise, mix, rows_of, split_by, window_hashes, words
 
 WINDOW = 35
 #: Every difference modulo PERIOD is a difference of two members of COVER (a perfect difference set).
 PERIOD, COVER = 13, (0, 1, 3, 9)
+_ON_COVER = np.isin(np.arange(PERIOD), COVER)
 #: Hashes in a bucket, about.
 BUCKET = 1 << 20
 
@@ -42,11 +44,11 @@ def covers(period: int, cover: tuple[int, ...]) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def _flat(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+def _flat(texts: list[bytes | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """All words' hashes in a row, and where each text starts (one more at the end)."""
-    split = [words(t) for t in texts]
+    split = list(map(words, texts))
     starts = np.concatenate([[0], np.cumsum([len(w) for w in split], dtype=np.int64)]).astype(np.int64)
-    return hashes.array([w for ws in split for w in ws]), starts
+    return hashes.array(list(chain.from_iterable(split))), starts
 
 
 def _inside(starts: np.ndarray, length: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +78,7 @@ def anchors(docs: DataFrame, text_col: str, window: int, buckets: int) -> DataFr
             h, starts = _flat(texts, hashes)
             runs = window_hashes(h, length)
             fits, place = _inside(starts, length, len(runs))
-            held.append(runs[fits & np.isin(place[: len(runs)] % PERIOD, COVER)])
+            held.append(runs[fits & _ON_COVER[place[: len(runs)] % PERIOD]])
             if sum(map(len, held)) > 2_000_000:
                 yield from out(held)
                 held = []
@@ -91,7 +93,7 @@ def anchors(docs: DataFrame, text_col: str, window: int, buckets: int) -> DataFr
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([v.tobytes() for _, v in parts], pa.binary())], ["bucket", "hashes"])
 
-    return docs.select(F.lit(0).alias("k"), F.col(text_col).alias("text")).mapInArrow(run, "bucket long, hashes binary")
+    return docs.select(F.lit(0).alias("k"), as_bytes(text_col)).mapInArrow(run, "bucket long, hashes binary")
 
 
 def repeated_anchors(blobs: DataFrame) -> DataFrame:
@@ -103,9 +105,9 @@ def repeated_anchors(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(run, "anchor long")
 
 
-def _key(doc: int | None, text: str | None) -> int:
+def _key(doc: int | None, text: bytes | None) -> int:
     """A document's key: rows with equal id and text share it, and lose the same words."""
-    return xxhash.xxh3_64_intdigest(f"{doc}\x00{text or ''}".encode("utf-8", "surrogatepass")) >> 1
+    return xxhash.xxh3_64_intdigest(text or b"", (doc or 0) & ((1 << 64) - 1)) >> 1
 
 
 def candidate_windows(docs: DataFrame, bloom: Bloom, id_col: str, text_col: str, window: int, buckets: int) -> DataFrame:
@@ -122,7 +124,7 @@ def candidate_windows(docs: DataFrame, bloom: Bloom, id_col: str, text_col: str,
                 continue
             runs = window_hashes(h, length)
             fits, place = _inside(starts, length, len(runs))
-            at = np.flatnonzero(fits & np.isin(place[: len(runs)] % PERIOD, COVER))
+            at = np.flatnonzero(fits & _ON_COVER[place[: len(runs)] % PERIOD])
             hit = np.zeros(len(h) + 1, np.int64)
             hit[at[filt.has(runs[at])] + 1] = 1
             seen = np.cumsum(hit)  # repeated anchors before each place
@@ -148,27 +150,38 @@ def candidate_windows(docs: DataFrame, bloom: Bloom, id_col: str, text_col: str,
             parts = list(split_by(buckets_of(rows["h"], buckets), rows))
             yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([v.tobytes() for _, v in parts], pa.binary())], ["bucket", "blob"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "bucket long, blob binary")
+    return docs.select(F.col(id_col).cast("long"), as_bytes(text_col)).mapInArrow(run, "bucket long, blob binary")
 
 
-def repeated_windows(blobs: DataFrame) -> DataFrame:
-    """key, starts: where the repeated windows of each document start (32-bit numbers), a row for each bucket that has any."""
+def repeated_windows(blobs: DataFrame, groups: int) -> DataFrame:
+    """key, starts: where the repeated windows of each document start (32-bit numbers), a row for each document that has any.
+
+    A bucket of hashes sends what it found as one blob for each group of keys, not a row for each document.
+    """
     kind = np.dtype([("h", "<u8"), ("g", "<u4"), ("at", "<u4"), ("key", "<u8")])
+    mark = np.dtype([("key", "<u8"), ("at", "<u4")])
 
-    def run(table: pa.Table) -> pa.Table:
+    def find(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, kind) for x in table.column("blob").to_pylist()])
         rows = rows[np.lexsort((rows["g"], rows["h"]))]
         same = (rows["h"][1:] == rows["h"][:-1]) & (rows["g"][1:] == rows["g"][:-1])
         rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(rows) > 1 else rows[:0]
-        rows = rows[np.argsort(rows["key"], kind="stable")]
+        found = np.zeros(len(rows), mark)
+        found["key"], found["at"] = rows["key"], rows["at"]
+        parts = list(split_by(buckets_of(found["key"], groups), found))
+        return pa.table({"keys": pa.array([k for k, _ in parts], pa.int64()), "found": pa.array([x.tobytes() for _, x in parts], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = np.unique(np.concatenate([np.frombuffer(x, mark) for x in table.column("found").to_pylist()]))
         keys, first = np.unique(rows["key"], return_index=True)
         at = np.split(np.ascontiguousarray(rows["at"]), first[1:]) if len(keys) else []
-        return pa.table({"key": pa.array(keys.view(np.int64)), "starts": pa.array([np.unique(a).tobytes() for a in at], pa.binary())})
+        return pa.table({"key": pa.array(keys.view(np.int64)), "starts": pa.array([a.tobytes() for a in at], pa.binary())})
 
-    return blobs.groupBy("bucket").applyInArrow(run, "key long, starts binary")
+    found = blobs.groupBy("bucket").applyInArrow(find, "keys long, found binary")
+    return found.groupBy("keys").applyInArrow(gather, "key long, starts binary")
 
 
-def kept_words(split: list[str], starts: np.ndarray, window: int) -> list[str]:
+def kept_words(split: list[bytes], starts: np.ndarray, window: int) -> list[bytes]:
     if not len(starts):
         return split
     edge = np.zeros(len(split) + 1, np.int64)
@@ -186,20 +199,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(1, total // 6 * len(COVER) // PERIOD // BUCKET)
     again = materialise(repeated_anchors(anchors(docs, text_col, window, buckets)), "anchors")
     bloom = build_bloom(again, "anchor", rows_of(again))
-    found = repeated_windows(candidate_windows(docs, bloom, id_col, text_col, window, buckets))
-
-    def join(table: pa.Table) -> pa.Table:
-        blobs = table.column("starts").to_pylist()
-        starts = np.unique(np.concatenate([np.frombuffer(b, "<u4") for b in blobs]))
-        return pa.table({"key": table.column("key")[:1], "starts": pa.array([starts.astype("<u4").tobytes()], pa.binary())})
-
-    marks = materialise(found.groupBy("key").applyInArrow(join, "key long, starts binary"), "repeats")
+    found = repeated_windows(candidate_windows(docs, bloom, id_col, text_col, window, buckets), max(1, buckets // 4))
+    marks = materialise(found, "repeats")
     marked = build_bloom(marks, "key", rows_of(marks)).bits
 
-    def finish(split: list[str], starts: bytes | None) -> list[str]:
+    def finish(split: list[bytes], starts: bytes | None) -> list[bytes]:
         return kept_words(split, np.frombuffer(starts or b"", "<u4").astype(np.int64), window)
 
-    schema = "doc_id long, n_words long, n_removed long, kept string"
+    schema = "doc_id long, n_words long, n_removed long, kept binary"
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without marks are done where they are; the others' texts travel to their marks."""
@@ -212,7 +219,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 [
                     pa.array(ids, pa.int64()),
                     pa.array([None if m else len(w) for w, m in zip(split, some, strict=True)], pa.int64()),
-                    pa.array([(t or "") if m else " ".join(w) for t, w, m in zip(texts, split, some, strict=True)], pa.string()),
+                    pa.array([(t or b"") if m else b" ".join(w) for t, w, m in zip(texts, split, some, strict=True)], pa.binary()),
                     pa.array(keys.view(np.int64)),
                 ],
                 ["doc_id", "n_words", "text", "key"],
@@ -225,17 +232,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if n is None:
                     split = words(text)
                     kept = finish(split, starts)
-                    row = (doc, len(split), len(split) - len(kept), " ".join(kept))
+                    row = (doc, len(split), len(split) - len(kept), b" ".join(kept))
                 else:
                     row = (doc, n, 0, text)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
 
-    rows = materialise(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(clean, "doc_id long, n_words long, text string, key long"), "repeats-rows")
+    rows = materialise(docs.select(F.col(id_col).cast("long"), as_bytes(text_col)).mapInArrow(clean, "doc_id long, n_words long, text binary, key long"), "repeats-rows")
     done = rows.filter("n_words is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"))
     travel = rows.filter("n_words is null").join(marks, "key", "left").select("doc_id", "n_words", "text", "starts")
-    return done.unionByName(travel.mapInArrow(cut, schema))
+    return done.unionByName(travel.mapInArrow(cut, schema)).withColumn("kept", F.col("kept").cast("string"))
 
 
 def kept_digest(df: DataFrame) -> DataFrame:
