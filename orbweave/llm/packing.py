@@ -13,6 +13,8 @@ tokenizer's ids.
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import materialise, rows_of, words
+from orbweave.llm.common import as_bytes, materialise, rows_of, words
 
 WINDOW, END_ID = 2048, 1
 #: Remainders packed together.
@@ -36,41 +38,69 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# The tokenizer's pieces of a word, and the characters for which these patterns and its own might differ.
+_PIECES = re.compile(r"'(?:[stmd]|re|ve|ll)|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+_ODD = re.compile("[\x00-\x1f\x7f-\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\U0010ffff]|<\\|")
+
+
+def byte_names() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from U+0100 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in prints)
+    return {b: chr(b) for b in prints} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Encodes texts whose tokenizer never joins across white space, word by word, from a bounded memo.
 
-    The memo is emptied when `limit` words are held.
+    New words of Latin letters are cut into the tokenizer's pieces and merged by its model; all others go through the
+    whole tokenizer. The memo is emptied when `limit` words are held.
     """
 
     def __init__(self, path: str, limit: int = 300_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.memo = Tokenizer.from_file(path), limit, {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [words(t) for t in texts]
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.merge, self.names = self.tokenizer.model.tokenize, byte_names()
+        self.memo: dict[bytes, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        if _ODD.search(word):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = []
+        for piece in _PIECES.findall(word.lower()):
+            if not piece.isascii():
+                piece = piece.encode().decode("latin-1").translate(self.names)
+            ids += [t.id for t in self.merge(piece)]
+        return np.array(ids, "<u4").tobytes()
+
+    def encode(self, texts: list[bytes | str | None]) -> list[np.ndarray]:
+        split = list(map(words, texts))
         memo = self.memo
         if len(memo) > self.limit:
             memo.clear()
-        new = list({w for ws in split for w in ws if w not in memo})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
+        for w in {w for ws in split for w in ws if w not in memo}:
+            memo[w] = self.word(w.decode("utf-8", "replace"))
         return [np.frombuffer(b"".join(map(memo.__getitem__, ws)), "<u4") for ws in split]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, whatever number of tasks it runs."""
+    return WordEncoder(path)
+
+
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: full windows, then the remainder if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encode = encoder(path).encode
         end = np.array([end_id], "<u4")
         for b in batches:
             ids_of, texts = b.column(0).cast(pa.int64()).to_pylist(), b.column(1).to_pylist()
             rows: list[list] = [[], [], [], [], []]
             for k in range(0, len(texts), 256):
-                for doc, ids in zip(ids_of[k : k + 256], encoder.encode([t or "" for t in texts[k : k + 256]]), strict=True):
+                for doc, ids in zip(ids_of[k : k + 256], encode(texts[k : k + 256]), strict=True):
                     ids = np.concatenate([ids, end])
                     for at in range(0, len(ids), window):
                         part = ids[at : at + window]
@@ -78,7 +108,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                             column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=_SCHEMA)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, _PIECE)
+    return docs.select(F.col(id_col).cast("long"), as_bytes(text_col)).mapInArrow(run, _PIECE)
 
 
 class OpenWindows:
