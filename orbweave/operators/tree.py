@@ -108,20 +108,27 @@ def update_cells(updates: DataFrame, s: TreeSetting, order: list[str], tree: Dat
     return folded.unionByName(tree.filter(F.col("d") < s.depth).select("d", *names, "log_odds"))
 
 
-def split_leaves(tree: DataFrame, cells: DataFrame, s: TreeSetting) -> DataFrame:
-    """The tree with every leaf above full depth that covers one of the cells split until the cell is a leaf."""
+def split_leaves(tree: DataFrame, cells: DataFrame, s: TreeSetting, to: int | None = None) -> DataFrame:
+    """The tree with every leaf above depth `to` (full by default) that covers one of the cells split until the cell's block is a leaf.
+
+    No loop over levels: a split leaf's inner nodes are the ancestors of the cells below it, and its new leaves are those
+    nodes' children that are no inner nodes themselves.
+    """
     names = axes_of(tree)
-    out = None
-    level = tree.select("d", *names, "log_odds")
-    for d in range(s.depth):
-        asked = cells.select(*[prefix(k, d, s).alias(f"_p{i}") for i, k in enumerate(names)]).distinct()
-        mine = level.filter(F.col("d") == d).select("*", *[prefix(k, d, s).alias(f"_p{i}") for i, k in enumerate(names)])
-        on = [f"_p{i}" for i in range(len(names))]
-        stays = mine.join(asked, on, "left_anti").select("d", *names, "log_odds")
-        split = children(mine.join(asked, on, "left_semi").select("d", *names, "log_odds"), s)
-        out = stays if out is None else out.unionByName(stays)
-        level = level.filter(F.col("d") > d).unionByName(split)
-    return out.unionByName(level)
+    n, to = len(names), s.depth if to is None else to
+    on = [f"_p{i}" for i in range(n)]
+    tree = tree.select("d", *names, "log_odds")
+    covered = search_cells(cells.select(*names).distinct(), tree, s, names).filter(F.col("d") < to)
+    gone = covered.select(F.col("d").alias("_d"), *[prefix(k, F.col("d"), s).alias(p) for k, p in zip(names, on, strict=True)]).distinct()
+    kept = tree.select("*", F.col("d").alias("_d"), *[prefix(k, F.col("d"), s).alias(p) for k, p in zip(names, on, strict=True)]).join(gone, ["_d", *on], "left_anti").select("d", *names, "log_odds")
+    inner = covered.select("log_odds", *names, F.explode(F.sequence(F.col("d"), F.lit(to - 1))).alias("_d"))
+    inner = inner.select("log_odds", "_d", *[prefix(k, F.col("_d"), s).alias(p) for k, p in zip(names, on, strict=True)]).distinct()
+    made = inner.select("log_odds", (F.col("_d") + 1).alias("_d"), *on, F.explode(F.sequence(F.lit(0), F.lit(2**n - 1))).alias("_i"))
+    made = made.select("log_odds", "_d", *[(F.col(p) * 2 + F.shiftright("_i", i).bitwiseAND(F.lit(1))).cast("int").alias(p) for i, p in enumerate(on)])
+    made = made.join(inner.select("_d", *on), ["_d", *on], "left_anti")
+    width = F.pow(F.lit(2.0), F.lit(s.depth) - F.col("_d"))
+    new = made.select(F.col("_d").cast("int").alias("d"), *[(F.col(p) * width + F.floor(width / 2)).cast("int").alias(k) for p, k in zip(on, names, strict=True)], "log_odds")
+    return kept.unionByName(new)
 
 
 # structure
@@ -247,24 +254,11 @@ def insert_node(leaves: DataFrame, cells: DataFrame, s: TreeSetting) -> DataFram
 def delete_block(leaves: DataFrame, keys: list[int], d: int, s: TreeSetting) -> DataFrame:
     """Leaves without the block at depth d that holds a key; a coarser leaf that covers it is split first."""
     names = axes_of(leaves)
-    inside = F.lit(True)
+    cell = leaves.sparkSession.range(1).select(*[F.lit(int(v)).alias(k) for k, v in zip(names, keys, strict=True)])
+    inside = F.col("d") >= d
     for k, v in zip(names, keys, strict=True):
         inside = inside & (prefix(k, d, s) == (v >> (s.depth - d)))
-    covers = F.col("d") < d
-    for k, v in zip(names, keys, strict=True):
-        covers = covers & (prefix(k, F.col("d"), s) == F.floor(F.lit(v) / F.pow(F.lit(2.0), F.lit(s.depth) - F.col("d"))).cast("int"))
-    rest = leaves.filter(~covers).filter((F.col("d") < d) | ~inside)
-    split = leaves.filter(covers)
-    out = rest
-    for level in range(d):
-        here = split.filter(F.col("d") == level)
-        made = children(here, s)
-        hit = F.lit(True)
-        for k, v in zip(names, keys, strict=True):
-            hit = hit & (prefix(k, level + 1, s) == (v >> (s.depth - level - 1)))
-        out = out.unionByName(made.filter(~hit).select(*leaves.columns))
-        split = split.filter(F.col("d") > level).unionByName(made.filter(hit).select(*leaves.columns))
-    return out
+    return split_leaves(leaves, cell, s, d).filter(~inside)
 
 
 def same_tree(a: DataFrame, b: DataFrame) -> bool:

@@ -52,7 +52,7 @@ PASSABLE = (".", "G")
 
 def read_street_map(spark: SparkSession, path: str) -> DataFrame:
     """file, row, col, passable of street maps: four lines of header, then a line of characters a row."""
-    lines = spark.read.option("wholetext", True).text(path).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    lines = spark.read.text(path, wholetext=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
     rows = lines.select("file", F.posexplode(F.split("value", "\r?\n")).alias("row", "line")).filter("row >= 4 and line <> ''")
     return rows.select("file", (F.col("row") - 4).alias("row"), F.posexplode(F.split("line", "")).alias("col", "c")).filter("c <> ''").select("file", "row", "col", F.col("c").isin(*PASSABLE).alias("passable"))
 
