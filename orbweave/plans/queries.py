@@ -141,8 +141,7 @@ def segments_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_M}, d AS (SELECT *, (2 - x) * (x * x + y * y) * 0 AS o, x AS ux, y AS uy, z AS uz FROM m),
-n AS (SELECT *, 9 + 4 + 1 AS ee, x * x + y * y + z * z AS dd, 3 * x - 2 * y + z AS de, x * (x - 1) + y * (y - 1) + z * (z + 2) AS dw, 3 * (x - 1) - 2 * (y - 1) + (z + 2) AS ew FROM m),
+    f"""WITH {_M}, n AS (SELECT *, 9 + 4 + 1 AS ee, x * x + y * y + z * z AS dd, 3 * x - 2 * y + z AS de, x * (x - 1) + y * (y - 1) + z * (z + 2) AS dw, 3 * (x - 1) - 2 * (y - 1) + (z + 2) AS ew FROM m),
 c AS (SELECT *, dd * ee - de * de AS q FROM n), st AS (SELECT *, (de * ew - ee * dw) / q AS s, (dd * ew - de * dw) / q AS t FROM c WHERE q <> 0)
 SELECT pt_idx, round(s, 6) AS s, round(t, 6) AS t, round(sqrt(pow(x - 1 + s * x - t * 3, 2) + pow(y - 1 + s * y + t * 2, 2) + pow(z + 2 + s * z - t, 2)), 6) AS gap FROM st"""
 )
@@ -223,8 +222,7 @@ def camera_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_M}, t AS (SELECT pt_idx, x, y, z, 2 * (y + 3) - z * (-1) AS nx, z * 4 - 2 * (x - 1) AS ny, 1 AS one FROM m)
-SELECT pt_idx, round(sqrt(pow((y - 0) * 3 - z * 1, 2) + pow(z * 4 - x * 3, 2) + pow(x * 1 - y * 4, 2)) / 2, 6) AS area FROM m"""
+    f"""WITH {_M} SELECT pt_idx, round(sqrt(pow((y - 0) * 3 - z * 1, 2) + pow(z * 4 - x * 3, 2) + pow(x * 1 - y * 4, 2)) / 2, 6) AS area FROM m"""
 )
 def triangle_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks(spark, sf_dir).select("pt_idx", r6(G.triangle_area([0.0, 0.0, 0.0], ["x", "y", "z"], [4.0, 1.0, 3.0]), "area"))
@@ -464,11 +462,11 @@ def pixel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rays.bresenham(p, "x0", "y0", "x1", "y1").select("id", "step", "px", "py")
 
 
-@query(f"WITH {_M} SELECT pt_idx, abs(sqrt(x * x + y * y) - 1) < 1e-3 OR sqrt(pow(x, 2) + pow(y, 2)) >= 0 AS traced FROM m")
+@query(f"WITH {_M} SELECT pt_idx, round(-sqrt(1 - y * y) - x, 3) AS t, true AS hit FROM m WHERE x < -1 AND abs(y) <= 0.9")
 def sphere_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = marks(spark, sf_dir).withColumns({"vx": F.lit(1.0), "vy": F.lit(0.0)})
+    p = marks(spark, sf_dir).filter("x < -1 and abs(y) <= 0.9").withColumns({"vx": F.lit(1.0), "vy": F.lit(0.0)})
     t = rays.sphere_trace(p, ["x", "y"], ["vx", "vy"], lambda q: F.sqrt(q[0] * q[0] + q[1] * q[1]) - 1.0, 30.0)
-    return t.select("pt_idx", F.col("t").isNotNull().alias("traced"))
+    return t.select("pt_idx", F.round("t", 3).alias("t"), "hit")
 
 
 # joins
