@@ -327,7 +327,7 @@ def train_round(encoded: DataFrame, model: Model, share: np.ndarray, shrink: flo
     emit = share[:, None] * lean
     move = total[size : size + k] + 1.0
     start = total[size + k] + 1.0
-    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0)), total[-1, 0]
+    return Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / np.maximum(emit.sum(0), 1e-300)), total[-1, 0]
 
 
 def forward(docs: list[np.ndarray], model: Model) -> np.ndarray:
@@ -372,7 +372,10 @@ def rare_sums(encoded: DataFrame, vocabulary: DataFrame, buckets: int) -> DataFr
         parts = list(split_by(buckets_of(rows["h"], buckets), rows))
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([x.tobytes() for _, x in parts], pa.binary()), pa.array([False] * len(parts))], ["bucket", "blob", "counts"])
 
+    found = np.dtype([("rid", "<i8"), ("log", "<f8"), ("known", "<i8")])
+
     def look(table: pa.Table) -> pa.Table:
+        """One blob for each group of documents, not a row for each document."""
         counts = table.column("counts").to_pylist()
         blobs = table.column("blob").to_pylist()
         known = np.concatenate([np.zeros(0, _COUNTS), *(np.frombuffer(x, _COUNTS) for x, c in zip(blobs, counts, strict=True) if c)])
@@ -382,11 +385,20 @@ def rare_sums(encoded: DataFrame, vocabulary: DataFrame, buckets: int) -> DataFr
             at = np.minimum(np.searchsorted(known["h"], rows["h"]), len(known) - 1)
             c = np.where(known["h"][at] == rows["h"], known["c"][at], 0)
         rids, of = np.unique(rows["rid"], return_inverse=True)
-        return pa.table({"rid": pa.array(rids, pa.int64()), "rare_log": pa.array(np.bincount(of, np.log10(c + 1.0), len(rids)), pa.float64()), "rare_known": pa.array(np.bincount(of, c > 0, len(rids)).astype(np.int64))})
+        out = np.zeros(len(rids), found)
+        out["rid"], out["log"], out["known"] = rids, np.bincount(of, np.log10(c + 1.0), len(rids)), np.bincount(of, c > 0, len(rids))
+        parts = list(split_by(buckets_of(rids.view(np.uint64), buckets), out))
+        return pa.table({"docs": pa.array([k for k, _ in parts], pa.int64()), "sums": pa.array([x.tobytes() for _, x in parts], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(x, found) for x in table.column("sums").to_pylist()])
+        rids, of = np.unique(rows["rid"], return_inverse=True)
+        return pa.table({"rid": rids, "rare_log": np.bincount(of, rows["log"], len(rids)), "rare_known": np.bincount(of, rows["known"], len(rids)).astype(np.int64)})
 
     sent = encoded.select("rid", "rare").mapInArrow(send, "bucket long, blob binary, counts boolean")
     both = sent.unionByName(vocabulary.select("bucket", "blob", F.lit(True).alias("counts")))
-    return both.groupBy("bucket").applyInArrow(look, "rid long, rare_log double, rare_known long").groupBy("rid").agg(F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"))
+    sums = both.groupBy("bucket").applyInArrow(look, "docs long, sums binary")
+    return sums.groupBy("docs").applyInArrow(gather, "rid long, rare_log double, rare_known long")
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, states: int = STATES, rounds: int = ROUNDS) -> tuple[Model, Alphabet, DataFrame, DataFrame, int, list[float]]:
