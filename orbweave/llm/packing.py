@@ -51,34 +51,39 @@ def byte_names() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes texts whose tokenizer never joins across white space, word by word, from a bounded memo.
+    """Encodes texts whose tokenizer never joins across white space, word by word, from bounded memos.
 
     New words of Latin letters are cut into the tokenizer's pieces and merged by its model; all others go through the
-    whole tokenizer. The memo is emptied when `limit` words are held.
+    whole tokenizer. A memo is emptied when it holds `limit` entries.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.merge, self.names = self.tokenizer.model.tokenize, byte_names()
         self.memo: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
         if _ODD.search(word):
             return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        ids = []
+        out = []
         for piece in _PIECES.findall(word.lower()):
-            if not piece.isascii():
-                piece = piece.encode().decode("latin-1").translate(self.names)
-            ids += [t.id for t in self.merge(piece)]
-        return np.array(ids, "<u4").tobytes()
+            ids = self.pieces.get(piece)
+            if ids is None:
+                named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.names)
+                ids = self.pieces[piece] = b"".join(t.id.to_bytes(4, "little") for t in self.merge(named))
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, texts: list[bytes | str | None]) -> list[np.ndarray]:
         split = list(map(words, texts))
         memo = self.memo
         if len(memo) > self.limit:
             memo.clear()
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
         for w in {w for ws in split for w in ws if w not in memo}:
             memo[w] = self.word(w.decode("utf-8", "replace"))
         return [np.frombuffer(b"".join(map(memo.__getitem__, ws)), "<u4") for ws in split]
