@@ -172,7 +172,9 @@ def repeated_windows(blobs: DataFrame, groups: int) -> DataFrame:
         return pa.table({"keys": pa.array([k for k, _ in parts], pa.int64()), "found": pa.array([x.tobytes() for _, x in parts], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = np.unique(np.concatenate([np.frombuffer(x, mark) for x in table.column("found").to_pylist()]))
+        rows = np.concatenate([np.frombuffer(x, mark) for x in table.column("found").to_pylist()])
+        rows = rows[np.lexsort((rows["at"], rows["key"]))]
+        rows = rows[np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["at"][1:] != rows["at"][:-1])])]
         keys, first = np.unique(rows["key"], return_index=True)
         at = np.split(np.ascontiguousarray(rows["at"]), first[1:]) if len(keys) else []
         return pa.table({"key": pa.array(keys.view(np.int64)), "starts": pa.array([a.tobytes() for a in at], pa.binary())})
@@ -199,7 +201,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(1, total // 6 * len(COVER) // PERIOD // BUCKET)
     again = materialise(repeated_anchors(anchors(docs, text_col, window, buckets)), "anchors")
     bloom = build_bloom(again, "anchor", rows_of(again))
-    found = repeated_windows(candidate_windows(docs, bloom, id_col, text_col, window, buckets), max(1, buckets // 4))
+    found = repeated_windows(candidate_windows(docs, bloom, id_col, text_col, window, buckets), buckets)
     marks = materialise(found, "repeats")
     marked = build_bloom(marks, "key", rows_of(marks)).bits
 
