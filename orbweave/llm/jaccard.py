@@ -10,9 +10,9 @@ must agree on one subset, a shared signature:
 * k > 7: k + 1 + t partitions, each a signature: t + 1 at least agree. A set with t light partitions (under two
   features) at most leaves these out, as one heavy partition still agrees; other sets send all.
 
-Signatures meet in buckets of about a million. There, a histogram of the features bounds the difference of
-two sets from below and refutes nearly all chance meetings; sets that pass are joined into candidate classes
-by a union-find, so that a signature shared by thousands of sets costs a comparison each, not all pairs. Only the
+Signatures meet in buckets of about a million; those of one set alone, nearly all, go no further. To the shared ones
+their sets' sizes and histograms are brought: these bound the difference of two sets from below and
+refute nearly all chance meetings; sets that pass are joined into candidate classes by a union-find, so that a signature shared by thousands of sets costs a comparison each, not all pairs. Only the
 candidate classes' sets are then compared exactly, in groups of bounded size (a large class is cut in chunks
 and each pair of chunks is a group), again by union-find, with a prefix filter that loses no link. What is
 returned is each document's component: no link is dropped, and copies aren't expanded into pairs.
@@ -115,52 +115,104 @@ def node_of(s: np.ndarray) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-_SIGNED = "doc_id long, key long, n long, node long, bucket long, sigs binary, at binary, nodes binary, sizes binary, bins binary"
-_BLOBS = ["bucket", "sigs", "at", "nodes", "sizes", "bins"]
+_SIG = np.dtype([("sig", "<u8"), ("node", "<i8")])
+_SET = np.dtype([("node", "<i8"), ("size", "<u4"), ("bins", "u1", BINS)])
+_FULL = np.dtype([("sig", "<u8"), ("set", _SET)])
 
 
-def sign(docs: DataFrame, n: int, similarity: tuple[int, int], buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Two kinds of rows: (doc_id, key, n, node) of every document; with a bucket, blobs of the signatures that fall in it."""
-    names = [x.split()[0] for x in _SIGNED.split(", ")]
-    kinds = [pa.int64()] * 5 + [pa.binary()] * 5
+def _blobs(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
+    parts = list(split_by(bucket, rows))
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([x.tobytes() for _, x in parts], pa.binary())], ["bucket", "blob"])
 
-    def batch(**columns: list) -> pa.RecordBatch:
-        size = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns.get(c, [None] * size), t) for c, t in zip(names, kinds, strict=True)], names)
+
+def describe_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, key, n (the set's size), node and histogram of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands, seen, held, count = Hashes(), Bands(similarity), set(), [], 0
+        hashes = Hashes(250_000)
         for b in batches:
-            sizes, nodes = [], []
+            sizes, nodes, bins = [], [], []
             for v in b.column(2):
                 s = shingles(v.as_py(), n, hashes)
                 sizes.append(len(s))
                 nodes.append(node_of(s) if len(s) else None)
-                if len(s) and nodes[-1] not in seen:  # copies here sign once
-                    if len(seen) >= 500_000:
-                        seen.clear()
-                    seen.add(nodes[-1])
-                    held.append((bands.signatures(s), nodes[-1], len(s), histogram(s)))
-                    count += len(held[-1][0])
-                    if count > 500_000:
-                        yield out(held)
-                        held, count = [], 0
-            yield batch(doc_id=b.column(0).to_pylist(), key=b.column(1).to_pylist(), n=sizes, node=nodes)
+                bins.append(histogram(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bins, pa.binary())], ["doc_id", "key", "n", "node", "bins"])
+
+    return docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), as_bytes(text_col)).mapInArrow(run, "doc_id long, key long, n long, node long, bins binary")
+
+
+def sign(docs: DataFrame, n: int, similarity: tuple[int, int], buckets: int, text_col: str) -> DataFrame:
+    """bucket, blob: (signature, node) of every set, once from each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bands, seen, held, count = Hashes(250_000), Bands(similarity), set(), [], 0
+        for b in batches:
+            for v in b.column(0):
+                s = shingles(v.as_py(), n, hashes)
+                node = node_of(s) if len(s) else None
+                if node is None or node in seen:  # copies here sign once
+                    continue
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen.add(node)
+                sigs = bands.signatures(s)
+                rows = np.zeros(len(sigs), _SIG)
+                rows["sig"], rows["node"] = sigs, node
+                held.append(rows)
+                count += len(rows)
+                if count > 500_000:
+                    rows = np.concatenate(held)
+                    yield _blobs(rows, buckets_of(rows["sig"], buckets))
+                    held, count = [], 0
         if held:
-            yield out(held)
+            rows = np.concatenate(held)
+            yield _blobs(rows, buckets_of(rows["sig"], buckets))
+
+    return docs.select(as_bytes(text_col)).mapInArrow(run, "bucket long, blob binary")
 
-    def out(held: list[tuple]) -> pa.RecordBatch:
-        sigs = np.concatenate([x[0] for x in held])
-        of = np.repeat(np.arange(len(held)), [len(x[0]) for x in held])
-        nodes, sizes, bins = np.array([x[1] for x in held], np.int64), np.array([x[2] for x in held], np.uint32), np.array([x[3] for x in held])
-        columns: dict[str, list] = {c: [] for c in _BLOBS}
-        for k, sig, at in split_by(buckets_of(sigs, buckets), sigs, of):
-            here, at = np.unique(at, return_inverse=True)
-            for c, v in zip(_BLOBS, (k, sig.tobytes(), at.astype(np.uint32).tobytes(), nodes[here].tobytes(), sizes[here].tobytes(), bins[here].tobytes()), strict=True):
-                columns[c].append(v)
-        return batch(**columns)
 
-    return docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), as_bytes(text_col)).mapInArrow(run, _SIGNED)
+def _all(table: pa.Table, kind: np.dtype, column: str = "blob") -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in table.column(column) if x.is_valid)])
+
+
+def shared_signatures(signed: DataFrame, groups: int) -> DataFrame:
+    """bucket (of nodes), blob: the signatures that two sets share at least; most have one set and end here."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _all(table, _SIG)
+        rows = rows[np.lexsort((rows["node"], rows["sig"]))]
+        rows = rows[np.concatenate([[True], (rows["sig"][1:] != rows["sig"][:-1]) | (rows["node"][1:] != rows["node"][:-1])])]
+        same = rows["sig"][1:] == rows["sig"][:-1]
+        rows = rows[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        return pa.Table.from_batches([_blobs(rows, buckets_of(rows["node"].copy().view(np.uint64), groups))])
+
+    return signed.groupBy("bucket").applyInArrow(run, "bucket long, blob binary")
+
+
+def attach_sets(shared: DataFrame, nodes: DataFrame, groups: int, buckets: int) -> DataFrame:
+    """bucket (of signatures), blob: shared signatures with their sets' sizes and histograms."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.zeros(b.num_rows, _SET)
+            rows["node"], rows["size"] = b.column("node").to_numpy(), b.column("n").to_numpy()
+            rows["bins"] = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+            if len(rows):
+                yield _blobs(rows, buckets_of(rows["node"].copy().view(np.uint64), groups))
+
+    def run(table: pa.Table) -> pa.Table:
+        sets, sigs = _all(table, _SET, "sets"), _all(table, _SIG)
+        if not len(sigs):
+            return pa.table({"bucket": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
+        sets = sets[np.argsort(sets["node"], kind="stable")]
+        out = np.zeros(len(sigs), _FULL)
+        out["sig"], out["set"] = sigs["sig"], sets[np.searchsorted(sets["node"], sigs["node"])]
+        return pa.Table.from_batches([_blobs(out, buckets_of(out["sig"], buckets))])
+
+    described = nodes.select("node", "n", "bins").mapInArrow(send, "bucket long, blob binary").select("bucket", F.lit(None).cast("binary").alias("blob"), F.col("blob").alias("sets"))
+    both = shared.select("bucket", "blob", F.lit(None).cast("binary").alias("sets")).unionByName(described)
+    return both.groupBy("bucket").applyInArrow(run, "bucket long, blob binary")
 
 
 def near(sizes: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
@@ -172,25 +224,15 @@ def near(sizes: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, simi
     return fits
 
 
-def candidate_links(signed: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def candidate_links(full: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """a, b: a spanning forest, for each bucket, of the sets that share a signature and may be linked."""
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, sigs, at, sizes, bins, base = [], [], [], [], [], 0
-        for sig, a, node, size, hist in zip(*(table.column(c).to_pylist() for c in _BLOBS[1:]), strict=True):
-            nodes.append(np.frombuffer(node, np.int64))
-            sigs.append(np.frombuffer(sig, np.uint64))
-            at.append(np.frombuffer(a, np.uint32).astype(np.int64) + base)
-            sizes.append(np.frombuffer(size, np.uint32).astype(np.int64))
-            bins.append(np.frombuffer(hist, np.uint8).reshape(-1, BINS))
-            base += len(nodes[-1])
-        nodes, first, same = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
-        sizes, bins = np.concatenate(sizes)[first], np.concatenate(bins)[first]
-        sigs, at = np.concatenate(sigs), same[np.concatenate(at)]
-        order = np.lexsort((at, sigs))
-        sigs, at = sigs[order], at[order]
-        new = np.concatenate([[True], (sigs[1:] != sigs[:-1]) | (at[1:] != at[:-1])])
-        sigs, at = sigs[new], at[new]
+        rows = _all(table, _FULL)
+        nodes, first, at = np.unique(rows["set"]["node"], return_index=True, return_inverse=True)
+        sizes, bins = rows["set"]["size"][first].astype(np.int64), rows["set"]["bins"][first]
+        order = np.lexsort((at, rows["sig"]))
+        sigs, at = rows["sig"][order], at[order]
         starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
         counts = np.diff(np.append(starts, len(sigs)))
         starts, counts = starts[counts > 1], counts[counts > 1]
@@ -216,7 +258,7 @@ def candidate_links(signed: DataFrame, similarity: tuple[int, int]) -> DataFrame
         moved = [x for x, r in enumerate(roots) if r != x]
         return pa.table({"a": nodes[[roots[x] for x in moved]] if moved else nodes[:0], "b": nodes[moved] if moved else nodes[:0]})
 
-    return signed.filter("bucket is not null").select(*_BLOBS).groupBy("bucket").applyInArrow(run, "a long, b long")
+    return full.groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
 def _join_rest(members: np.ndarray, union: Union, sizes: np.ndarray, bins: np.ndarray, similarity: tuple[int, int]) -> None:
@@ -301,14 +343,14 @@ def candidate_sets(docs: DataFrame, members: Bloom, n: int, text_col: str) -> Da
     bits = members.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bloom, seen = Hashes(), Bloom(bits), set()
+        hashes, bloom, seen = Hashes(250_000), Bloom(bits), set()
         for b in batches:
             nodes, sets = [], []
             for v in b.column(0):
                 s = shingles(v.as_py(), n, hashes)
                 node = node_of(s) if len(s) else None
                 if node is not None and node not in seen and (node & ((1 << 64) - 1)) in bloom:
-                    if len(seen) >= 500_000:
+                    if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(node)
                     nodes.append(node)
@@ -323,11 +365,12 @@ def components(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SI
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     num, den = similarity
     buckets = max(1, int(total / 6 * 4 * (den - num) / (den + num)) // BUCKET)
-    signed = materialise(sign(docs, n, similarity, buckets, id_col, text_col), "partenum")
-    narrow = signed.filter("bucket is null").select("doc_id", "key", "n", "node")
-    classes = materialise(connected_components(materialise(candidate_links(signed, similarity), "partenum-links")), "partenum-classes")
-    nodes = narrow.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"))
+    narrow = materialise(describe_sets(docs, n, id_col, text_col), "partenum")
+    nodes = narrow.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("bins").alias("bins"))
     nodes = materialise(nodes, "partenum-nodes")
+    fewer = max(1, buckets // 4)
+    full = attach_sets(shared_signatures(sign(docs, n, similarity, buckets, text_col), fewer), nodes, fewer, fewer)
+    classes = materialise(connected_components(materialise(candidate_links(full, similarity), "partenum-links")), "partenum-classes")
 
     # compare the sets of each candidate class
     weighed = classes.join(nodes.select("node", "n"), "node")
