@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from orbweave.llm.common import buckets_of, join_skewed, materialise, mix, rows_of, split_by
 from orbweave.llm.components import connected_components
 
-CORNERS, BANDS, REACH, SCALES = 24, 8, 9, (1, 2)
+CORNERS, BANDS, REACH, SCALES = 24, 2, 9, (1, 2)
 #: Cells that a pair must share, corners that must agree, and the pixels by which they may be off.
-CELLS, AGREE, SLACK = 6, 6, 3.0
-ALL_PAIRS, NEXT, BUCKET = 64, 8, 1 << 20
+CELLS, AGREE, SLACK = 4, 6, 3.0
+ALL_PAIRS, NEXT, BUCKET = 32, 8, 1 << 18
 #: Binary tests: pairs of places in a patch, from a fixed seed.
 _TESTS = np.clip(np.random.default_rng(11).normal(0, REACH / 2, (256, 2, 2)), -REACH, REACH)
 _TURNS = 32
@@ -153,10 +153,10 @@ def candidate_pairs(nodes: DataFrame, buckets: int) -> DataFrame:
             held = []
             for node, corners in zip(b.column("node").to_pylist(), b.column("corners").to_pylist(), strict=True):
                 rows = np.frombuffer(corners, _KIND)
-                words = np.ascontiguousarray(rows["bits"]).view("<u4").reshape(len(rows), BANDS).astype(np.uint64)
+                words = np.ascontiguousarray(rows["bits"]).view("<u8").reshape(len(rows), BANDS, -1)
                 cells = np.zeros((len(rows), BANDS), kind)
-                cells["cell"] = mix(words | (np.arange(BANDS, dtype=np.uint64) << np.uint64(32)))
-                cells["node"], cells["rest"] = node, (words[:, :1] << np.uint64(32)) | words[:, 1:2]
+                cells["cell"] = mix(mix(words[:, :, 0]) + words[:, :, 1] + np.arange(BANDS, dtype=np.uint64))
+                cells["node"], cells["rest"] = node, words[:, :1, 0] ^ (words[:, 1:2, 0] >> np.uint64(1))
                 held.append(cells.ravel())
             if held:
                 rows = np.concatenate(held)
@@ -214,9 +214,14 @@ def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> D
 
 
 def render(vector: Column, side: int = 8, zoom: int = 8) -> Column:
-    """An image of a vector: its first side x side values as a grid of squares, from dark to light."""
+    """An image of a vector: its first side x side values as a grid of greys, from dark to light, smooth in between."""
     import pandas as pd
 
+    at = np.clip((np.arange(side * zoom) + 0.5) / zoom - 0.5, 0, side - 1)
+    low_at = np.minimum(at.astype(int), side - 2)
+    blend = np.zeros((side * zoom, side))
+    blend[np.arange(side * zoom), low_at], blend[np.arange(side * zoom), low_at + 1] = 1 - (at - low_at), at - low_at
+
     def run(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in vectors:
             out = []
@@ -227,7 +232,7 @@ def render(vector: Column, side: int = 8, zoom: int = 8) -> Column:
                 g = np.asarray(v[: side * side], float).reshape(side, side)
                 low, high = g.min(), g.max()
                 g = (g - low) / (high - low) * 255 if high > low else g * 0
-                out.append(encode_pgm(np.kron(g, np.ones((zoom, zoom))).round().astype(np.uint8)))
+                out.append(encode_pgm((blend @ g @ blend.T).round().astype(np.uint8)))
             yield pd.Series(out, dtype=object)
 
     run.__annotations__ = {"vectors": Iterator[pd.Series], "return": Iterator[pd.Series]}
