@@ -368,3 +368,83 @@ def test_image_copies(spark):
     assert [got[i].class_id for i in range(8)] == [0, 0, 0, 3, 3, 5, 6, 0]
     assert [got[i].class_id for i in (20, 21, 22)] == [20, 21, 22] and got[20].n_links == 0
     assert media.copies(spark.createDataFrame([], "id long, image binary")).count() == 0
+
+
+def scene(r, n=112):
+    """A picture of shapes at several scales, with grain."""
+    a = np.zeros((n, n))
+    for k in (4, 8, 16, 28):
+        g = r.normal(size=(n // k + 2, n // k + 2))
+        at = np.arange(n) / k
+        i, f = at.astype(int), at - at.astype(int)
+        g = g[i] * (1 - f)[:, None] + g[i + 1] * f[:, None]
+        a += (g[:, i] * (1 - f) + g[:, i + 1] * f) * k**0.5
+    for _ in range(10):
+        y, x, h, w = *r.integers(0, n - 20, 2), *r.integers(8, 40, 2)
+        a[y : y + h, x : x + w] += r.normal() * 3
+    return np.clip((a - a.mean()) / a.std() * 45 + 128, 0, 255)
+
+
+def sampled(a, y, x):
+    y, x = np.clip(y, 0, a.shape[0] - 1.001), np.clip(x, 0, a.shape[1] - 1.001)
+    i, j = y.astype(int), x.astype(int)
+    u, v = y - i, x - j
+    return a[i, j] * (1 - u) * (1 - v) + a[i + 1, j] * u * (1 - v) + a[i, j + 1] * (1 - u) * v + a[i + 1, j + 1] * u * v
+
+
+def turned(a, degrees):
+    c, t = (len(a) - 1) / 2, np.deg2rad(degrees)
+    y, x = np.meshgrid(np.arange(len(a)) - c, np.arange(len(a)) - c, indexing="ij")
+    return sampled(a, y * np.cos(t) - x * np.sin(t) + c, y * np.sin(t) + x * np.cos(t) + c)
+
+
+def resized(a, zoom):
+    g = (np.arange(int(len(a) * zoom)) + 0.5) / zoom - 0.5
+    return sampled(a, *np.meshgrid(g, g, indexing="ij"))
+
+
+def recompressed(a, q):
+    """Blocks of 8 x 8 with their cosine transform rounded, as JPEG does."""
+    d = np.sqrt(2 / 8) * np.cos(np.pi * np.outer(np.arange(8), np.arange(8) + 0.5) / 8)
+    d[0] /= np.sqrt(2)
+    steps = q * (1 + np.add.outer(np.arange(8), np.arange(8)))
+    b = a.reshape(len(a) // 8, 8, -1, 8).swapaxes(1, 2)
+    return (d.T @ (np.round(d @ b @ d.T / steps) * steps) @ d).swapaxes(1, 2).reshape(a.shape)
+
+
+def grey(a):
+    return np.clip(np.round(a), 0, 255).astype(np.uint8)
+
+
+def found_pairs(spark, corners):
+    rows = [(i, c.tobytes()) for i, c in enumerate(corners)]
+    return {(x.a, x.b) for x in media.candidate_pairs(spark.createDataFrame(rows, "node long, corners binary"), 3).collect()}
+
+
+def test_image_candidates_against_brute_force(spark):
+    r = np.random.default_rng(4)
+    edits = {
+        "contrast": lambda a: (a - 128) * 0.7 + 118,
+        "brightness": lambda a: a + 30,
+        "noise": lambda a: a + r.normal(size=a.shape) * 8,
+        "recompression": lambda a: recompressed(a, 10),
+        "blur": lambda a: (a + np.roll(a, 1, 0) + np.roll(a, 1, 1) + np.roll(a, (1, 1), (0, 1))) / 4,
+        "larger": lambda a: resized(a, 1.2),
+        "smaller": lambda a: resized(a, 0.85),
+        "turn": lambda a: turned(a, 10),
+        "large turn": lambda a: turned(a, 37),
+        "crop": lambda a: a[9:100, 13:104],
+    }
+    kinds, corners = [], []
+    for _ in range(12):
+        a = scene(r)
+        for kind, edit in [("", lambda a: a), *edits.items()]:
+            kinds.append(kind)
+            corners.append(media.describe(grey(edit(a))))
+    found, k = found_pairs(spark, corners), len(edits) + 1
+    for e, kind in enumerate(edits, 1):
+        brute = {(i, i + e) for i in range(0, len(corners), k) if media.consensus(corners[i], corners[i + e]) >= media.AGREE}
+        assert len(brute) >= 3, kind
+        assert len(brute & found) >= 0.9 * len(brute), kind
+    linked = {(i, j) for i in range(len(corners)) for j in range(i + 1, len(corners)) if media.consensus(corners[i], corners[j], media.AGREE) >= media.AGREE}
+    assert len(linked & found) >= 0.9 * len(linked)
