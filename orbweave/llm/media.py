@@ -6,9 +6,9 @@ are compared corner by corner, and linked if enough matched corners agree on one
 not complete for the 40 bits that a match may differ in: a test holds their recall against brute force at 0.9 at least for
 each of contrast, brightness, noise, recompression, blur, resizing, turns by any angle and crops.
 
-Equal images are one node, so that any number of copies costs one. Cells shared by more than ALL_PAIRS distinct images
-pair each image with the first and with its NEXT neighbours in order of the whole descriptor rather than with all others; a pair of
-copies shares up to corners x BANDS cells, and the others may pair it too.
+Equal images are one node, so that any number of copies costs one. All distinct images of a cell are paired, in blocks of
+BLOCK a side, so that a task holds a bounded number of pairs however many share a cell. The strongest corners are taken
+in each tile of at most TILE pixels a side, so that a crop of a small part of a large image keeps corners of its own.
 
 Images are binary PGM. Defined cases: null, empty or undecodable images have no corners and are linked with nothing, not
 even equal ones; images without enough corners link with equal images only; repeated rows are equal images; an empty table gives no rows;
@@ -32,7 +32,7 @@ from orbweave.llm.components import connected_components
 CORNERS, BANDS, BAND, REACH, SCALES = 24, 8, 48, 9, (1, 2)
 #: Bits of a match at most, corners that must agree, and the pixels by which they may be off.
 APART, AGREE, SLACK = 40, 6, 3.0
-ALL_PAIRS, NEXT, BUCKET = 32, 8, 1 << 18
+TILE, BLOCK, BUCKET = 64, 512, 1 << 18
 #: Binary tests: pairs of places in a patch, from a fixed seed.
 _TESTS = np.clip(np.random.default_rng(11).normal(0, REACH / 2, (256, 2, 2)), -REACH, REACH)
 _TURNS = 32
@@ -61,8 +61,29 @@ def _smooth(a: np.ndarray, r: int) -> np.ndarray:
     return (p[k:, k:] - p[:-k, k:] - p[k:, :-k] + p[:-k, :-k]) / (k * k)
 
 
+def _described(a: np.ndarray, y: np.ndarray, x: np.ndarray, s: int) -> np.ndarray:
+    """The corners at y, x of an image at scale s, with their descriptors."""
+    h, w = a.shape
+    span = np.arange(-7, 8)
+    dy, dx = np.meshgrid(span, span, indexing="ij")
+    disc = dy**2 + dx**2 <= 49
+    dy, dx = dy[disc], dx[disc]
+    patch = a[y[:, None] + dy, x[:, None] + dx]
+    angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
+    turn = np.round(angle / (2 * np.pi) * _TURNS) / _TURNS * 2 * np.pi
+    c, n = np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
+    tx, ty = _TESTS[None, :, :, 0], _TESTS[None, :, :, 1]
+    px = np.clip(np.round(x[:, None, None] + tx * c - ty * n).astype(int), 0, w - 1)
+    py = np.clip(np.round(y[:, None, None] + tx * n + ty * c).astype(int), 0, h - 1)
+    v = a[py, px]
+    rows = np.zeros(len(x), _KIND)
+    rows["x"], rows["y"], rows["angle"], rows["scale"] = x * s, y * s, angle, s
+    rows["bits"] = np.packbits(v[:, :, 0] < v[:, :, 1] - 0.5, axis=1)
+    return rows
+
+
 def describe(image: np.ndarray, most: int = CORNERS) -> np.ndarray:
-    """The strongest corners of all scales with their descriptors."""
+    """The strongest corners of each tile at all scales, `most` a tile, with their descriptors."""
     out = []
     for s in SCALES:
         h, w = image.shape[0] // s, image.shape[1] // s
@@ -81,26 +102,15 @@ def describe(image: np.ndarray, most: int = CORNERS) -> np.ndarray:
         top[:edge] = top[-edge:] = False
         top[:, :edge] = top[:, -edge:] = False
         y, x = np.nonzero(top)
-        keep = np.argsort(-strong[y, x], kind="stable")[:most]
+        rows, columns = -(-h // TILE), -(-w // TILE)
+        tile = y * rows // h * columns + x * columns // w
+        order = np.lexsort((-strong[y, x], tile))
+        first = np.searchsorted(tile[order], tile[order])
+        keep = order[np.arange(len(order)) - first < most]
         y, x = y[keep], x[keep]
         if not len(x):
             continue
-        span = np.arange(-7, 8)
-        dy, dx = np.meshgrid(span, span, indexing="ij")
-        disc = dy**2 + dx**2 <= 49
-        dy, dx = dy[disc], dx[disc]
-        patch = a[y[:, None] + dy, x[:, None] + dx]
-        angle = np.arctan2((patch * dy).sum(1), (patch * dx).sum(1))
-        turn = np.round(angle / (2 * np.pi) * _TURNS) / _TURNS * 2 * np.pi
-        c, n = np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
-        tx, ty = _TESTS[None, :, :, 0], _TESTS[None, :, :, 1]
-        px = np.clip(np.round(x[:, None, None] + tx * c - ty * n).astype(int), 0, w - 1)
-        py = np.clip(np.round(y[:, None, None] + tx * n + ty * c).astype(int), 0, h - 1)
-        v = a[py, px]
-        rows = np.zeros(len(x), _KIND)
-        rows["x"], rows["y"], rows["angle"], rows["scale"] = x * s, y * s, angle, s
-        rows["bits"] = np.packbits(v[:, :, 0] < v[:, :, 1] - 0.5, axis=1)
-        out.append(rows)
+        out.extend(_described(a, y[k : k + 2048], x[k : k + 2048], s) for k in range(0, len(x), 2048))
     return np.concatenate(out) if out else np.zeros(0, _KIND)
 
 
@@ -153,46 +163,73 @@ def corner_table(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
 
 def candidate_pairs(nodes: DataFrame, buckets: int) -> DataFrame:
     """a, b: pairs of images that share a cell of the tables."""
-    kind = np.dtype([("cell", "<u8"), ("node", "<i8"), ("rest", "<u8")])
+    kind = np.dtype([("cell", "<u8"), ("node", "<i8")])
     places = np.uint64(1) << np.arange(BAND, dtype=np.uint64)
 
+    def blobs(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        parts = list(split_by(buckets_of(rows["cell"], buckets), rows))
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([x.tobytes() for _, x in parts], pa.binary())], ["bucket", "blob"])
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = []
+            held, n = [], 0
             for node, corners in zip(b.column("node").to_pylist(), b.column("corners").to_pylist(), strict=True):
-                rows = np.frombuffer(corners, _KIND)
-                bits = np.unpackbits(rows["bits"], axis=1).astype(np.uint64)
-                cells = np.zeros((len(rows), BANDS), kind)
-                cells["cell"] = (bits[:, _BITS] * places).sum(2, dtype=np.uint64) | (np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND))
-                cells["node"], cells["rest"] = node, np.ascontiguousarray(rows["bits"]).view("<u8")[:, :1]
-                held.append(cells.ravel())
+                every = np.frombuffer(corners, _KIND)
+                for k in range(0, len(every), 4096):
+                    bits = np.unpackbits(every["bits"][k : k + 4096], axis=1).astype(np.uint64)
+                    cells = np.zeros((len(bits), BANDS), kind)
+                    cells["cell"] = (bits[:, _BITS] * places).sum(2, dtype=np.uint64) | (np.arange(BANDS, dtype=np.uint64) << np.uint64(BAND))
+                    cells["node"] = node
+                    held.append(cells.ravel())
+                    n += cells.size
+                    if n >= 1 << 20:
+                        yield blobs(held)
+                        held, n = [], 0
             if held:
-                rows = np.concatenate(held)
-                parts = list(split_by(buckets_of(rows["cell"], buckets), rows))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([x.tobytes() for _, x in parts], pa.binary())], ["bucket", "blob"])
+                yield blobs(held)
 
     def meet(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, kind) for x in table.column("blob").to_pylist()])
-        rows = rows[np.lexsort((rows["rest"], rows["cell"]))]
+        rows = rows[np.lexsort((rows["node"], rows["cell"]))]
+        fresh = np.concatenate([[True], (rows["cell"][1:] != rows["cell"][:-1]) | (rows["node"][1:] != rows["node"][:-1])])
+        rows = rows[fresh]
         starts = np.flatnonzero(np.concatenate([[True], rows["cell"][1:] != rows["cell"][:-1]]))
         ends = np.append(starts[1:], len(rows))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, e in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist(), strict=True):
-            members = rows["node"][s:e]
-            members = members[np.sort(np.unique(members, return_index=True)[1])]
-            n = len(members)
-            if n <= ALL_PAIRS:
-                i, j = np.triu_indices(n, 1)
-            else:
-                i = np.concatenate([np.zeros(n - 1, np.int64), *(np.arange(n - k) for k in range(1, NEXT + 1))])
-                j = np.concatenate([np.arange(1, n), *(np.arange(k, n) for k in range(1, NEXT + 1))])
-            a.append(np.minimum(members[i], members[j]))
-            b.append(np.maximum(members[i], members[j]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        several = ends - starts > 1
+        return pa.table({"members": pa.array([rows["node"][s:e].tobytes() for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True)], pa.binary())})
+
+    def block_pairs(members: np.ndarray) -> Iterator[np.ndarray]:
+        """All pairs of ascending members, BLOCK x BLOCK of them at most at once."""
+        for i in range(0, len(members), BLOCK):
+            a = members[i : i + BLOCK]
+            for j in range(i, len(members), BLOCK):
+                b = members[j : j + BLOCK]
+                u, v = np.triu_indices(len(a), 1) if i == j else (x.ravel() for x in np.indices((len(a), len(b))))
+                yield np.stack([a[u], b[v]], 1)
+
+    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            for x in b.column(0):
+                for pairs in block_pairs(np.frombuffer(x.as_py(), np.int64)):
+                    held.append(pairs)
+                    n += len(pairs)
+                    if n >= 1 << 19:
+                        yield distinct(held)
+                        held, n = [], 0
+        if held:
+            yield distinct(held)
+
+    def distinct(held: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.concatenate(held)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     cells = nodes.mapInArrow(send, "bucket long, blob binary")
-    return cells.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    met = cells.groupBy("bucket").applyInArrow(meet, "members binary")
+    return met.mapInArrow(pair_up, "a long, b long").distinct()
 
 
 def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
@@ -201,7 +238,8 @@ def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> D
     known = table.filter("node is not null")
     nodes = materialise(known.groupBy("node").agg(F.any_value("corners").alias("corners"), F.min("id").alias("least"), F.count(F.lit(1)).alias("members")), "corner-nodes")
     n = rows_of(nodes)
-    pairs = candidate_pairs(nodes.select("node", "corners"), max(1, n * CORNERS * BANDS * len(SCALES) // BUCKET))
+    corners = (nodes.agg(F.sum(F.octet_length("corners"))).first()[0] or 0) // _KIND.itemsize
+    pairs = candidate_pairs(nodes.select("node", "corners"), max(1, corners * BANDS // BUCKET))
     first = nodes.select(F.col("node").alias("a"), F.col("corners").alias("first"))
     second = nodes.select(F.col("node").alias("b"), F.col("corners").alias("second"))
 

@@ -448,3 +448,30 @@ def test_image_candidates_against_brute_force(spark):
         assert len(brute & found) >= 0.9 * len(brute), kind
     linked = {(i, j) for i in range(len(corners)) for j in range(i + 1, len(corners)) if media.consensus(corners[i], corners[j], media.AGREE) >= media.AGREE}
     assert len(linked & found) >= 0.9 * len(linked)
+
+
+def test_images_that_share_a_cell_are_all_paired(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    monkeypatch.setattr(media, "BLOCK", 16)  # several blocks a cell
+    shared = np.concatenate([media.describe(grey(scene(r)))[:1]] * 3)
+    shared["bits"][1:] = r.integers(0, 256, (2, 32))
+    assert found_pairs(spark, [shared[k % 2 : k % 2 + 2] for k in range(90)]) == {(i, j) for i in range(90) for j in range(i + 1, 90)}
+    family = []
+    for _ in range(70):
+        a = scene(np.random.default_rng(7), 96)
+        y, x = r.integers(0, 88, 2)
+        a[y : y + 8, x : x + 8] = r.integers(0, 256)
+        family.append(grey(a))
+    corners = [media.describe(a) for a in family]
+    brute = {(i, j) for i in range(70) for j in range(i + 1, 70) if media.consensus(corners[i], corners[j]) >= media.AGREE}
+    got = media.copies(spark.createDataFrame([(i, media.encode_pgm(a)) for i, a in enumerate(family)], "id long, image binary")).collect()
+    assert len(brute) == 70 * 69 // 2 and {(x.class_id, x.n_links) for x in got} == {(0, 69)}
+
+
+def test_crop_of_a_small_part_of_a_large_image(spark):
+    r = np.random.default_rng(8)
+    a = (scene(r, 448) - 128) * 0.5 + 128
+    a[300:430, 300:430] = np.kron(r.integers(0, 2, (13, 13)) * 255, np.ones((10, 10)))  # the strongest corners of all
+    images = [grey(a), grey(a[41:141, 57:157]), grey(scene(r))]
+    got = {x.id: x for x in media.copies(spark.createDataFrame([(i, media.encode_pgm(x)) for i, x in enumerate(images)], "id long, image binary")).collect()}
+    assert [got[i].class_id for i in range(3)] == [0, 0, 2]
