@@ -30,13 +30,18 @@ from pyspark.sql import functions as F
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select option datalist".split())
+RAW = frozenset("script style textarea title noscript template iframe select option datalist".split())
+#: Of these, what runs to the end of the page if it isn't closed.
+UNENDING = frozenset("script style textarea title iframe".split())
+#: Drawings and formulas: their text is judged, and nothing in them is a block.
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 TAGS = "html body nav header footer aside article main section div p ul ol li form button table tr td h1 h2 h3 h4 blockquote pre figure figcaption a span details dialog head dl address".split()
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]{2,}")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -45,12 +50,13 @@ BUCKETS = 96
 
 
 class Node:
-    __slots__ = ("block", "children", "chars", "depth", "link_chars", "marks", "node", "parent", "tag", "tags", "tokens", "words")
+    __slots__ = ("block", "children", "chars", "depth", "foreign", "link_chars", "marks", "node", "parent", "tag", "tags", "tokens", "words")
 
     def __init__(self, tag: str, parent: Node | None, tokens: tuple[int, ...], block: bool):
         self.tag, self.parent, self.tokens, self.block = tag, parent, tokens, block
         self.children: list[Node] = []
         self.depth = parent.depth + 1 if parent else 0
+        self.foreign = tag in FOREIGN or (parent is not None and parent.foreign and tag != "foreignobject")
         self.chars = self.link_chars = self.tags = self.marks = self.words = 0
         self.node = -1
         if parent:
@@ -70,20 +76,13 @@ def attribute_tokens(attributes: str) -> tuple[int, ...]:
 def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
     """The root, and the page's pieces in order: (innermost element, text), with None for the edge of a block."""
     root = Node("html", None, (), True)
-    now, pieces, at, raw = root, [], 0, None
+    now, pieces, at = root, [], 0
 
     def text(end: int) -> None:
         if end > at:
             pieces.append((now, page[at:end]))
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if raw is not None:
-            if not (m[1] and m[2].lower() == raw):
-                continue
-            raw, at = None, m.end()
-            continue
+    while m := _TOKEN.search(page, at):
         text(m.start())
         at = m.end()
         if not m[2]:
@@ -93,14 +92,18 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
             node = now
             while node and node.tag != tag:
                 node = node.parent
-            if tag not in INLINE:
+            if tag not in INLINE and not (now.foreign and (node is None or node.foreign)):
                 pieces.append((now, None))
             if node and node.parent and not (tag in INLINE and _crosses_block(now, node)):
                 now = node.parent
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                raw = tag
+            if not m[3].endswith("/"):  # what is within is no markup: only its own closing tag ends it
+                end = _CLOSING[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in UNENDING:
+                    at = len(page)
             continue
         if tag == "br":
             pieces.append((now, " "))
@@ -112,7 +115,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
             now = _close(now, ("p",), ENDS_P - {"p"}) or now
         elif tag in SIBLINGS:
             now = _close(now, SIBLINGS[tag], {"ul", "ol", "dl", "table"}) or now
-        block = tag not in INLINE
+        block = tag not in INLINE and tag not in FOREIGN and not (now.foreign and tag != "foreignobject")
         if block:
             pieces.append((now, None))
         if tag == "html":
@@ -121,8 +124,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
         now = Node(tag, now, tokens, block)
         if m[3].endswith("/") and tag not in ("a", "p", "div"):
             now = now.parent
-    if raw is None:
-        text(len(page))
+    text(len(page))
     return root, pieces
 
 

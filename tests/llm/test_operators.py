@@ -475,3 +475,17 @@ def test_crop_of_a_small_part_of_a_large_image(spark):
     images = [grey(a), grey(a[41:141, 57:157]), grey(scene(r))]
     got = {x.id: x for x in media.copies(spark.createDataFrame([(i, media.encode_pgm(x)) for i, x in enumerate(images)], "id long, image binary")).collect()}
     assert [got[i].class_id for i in range(3)] == [0, 0, 2]
+
+
+def test_code_in_a_script_ends_at_its_closing_tag():
+    m = html.model()
+    story = "<article><h1>Head</h1><p>First part of the story, which goes on for a good while, and then some.</p><p>Second part of the story, with %s and words enough to be read.</p></article>"
+    page = "<html><head>%s</head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav>" + story + "%s<footer>us</footer></body></html>"
+    want = html.extract_all([page % ("", "more", "")], m)[0]
+    assert "First part" in want and "Second part" in want
+    for code in ("for(i=0;i<n;i++){f(i)}", "if(a<b&&c>d){x='<p>'}", "a='it\"s'<b", "<!-- x", "</p></scripty>"):
+        assert html.extract_all([page % (f"<script>{code}</script>", "more", f"<SCRIPT type='a'>{code}</Script >")], m)[0] == want, code
+    assert html.extract_all([page % ("<style>a<b{}</style>", "more", "<script>f(1<n)")], m)[0] == want  # the last isn't closed
+    assert "Second" in html.extract_all([(page % ("", "more", "")).replace("</nav>", "</nav><select><option>A<option>B")], m)[0]  # nor is this
+    text = "".join(t or "|" for _, t in html.parse("<p>Say <math><mi>x</mi><mo>=</mo><mn>1</mn></math> or <svg><g><text>label</text></g></svg> here</p>")[1])
+    assert text == "|Say x=1 or label here|"
