@@ -362,6 +362,11 @@ def candidate_sets(docs: DataFrame, members: Bloom, n: int, text_col: str) -> Da
 
 def components(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and the row's key for every row."""
+    return rows_of_classes(docs, n, similarity, id_col, text_col).drop("root")
+
+
+def rows_of_classes(docs: DataFrame, n: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """components() with root besides, a node of each component: it tells apart those whose ids are all null. Rows without words have none."""
     total = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     num, den = similarity
     buckets = max(1, int(total / 6 * 4 * (den - num) / (den + num)) // BUCKET)
@@ -398,19 +403,19 @@ def components(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SI
     linked = nodes.join(linked, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     named = materialise(join_skewed(linked.select("node", "copies", "root"), smallest, "root", "members", rows_of(nodes)), "jaccard-classes")
-    named = named.select("node", "copies", "component_id")
+    named = named.select("node", "copies", "root", "component_id")
     joined = join_skewed(narrow, named, "node", "copies", rows_of(narrow))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "key")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", "key")
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs with the smallest id of their component, one of each component, with all their columns.
 
-    Rows without words are no copies of each other and stay.
+    Rows without words are no copies of each other and stay. Null ids come last; where all are null one row stays just so.
     """
-    found = materialise(components(docs, n, similarity, id_col, text_col), "jaccard-rows")
+    found = materialise(rows_of_classes(docs, n, similarity, id_col, text_col), "jaccard-rows")
     worded = F.col("n_shingles") > 0
-    first = found.filter(worded & (F.col("doc_id") == F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("key"))
+    first = found.filter(worded & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("key").alias("key"))
     kept = first.select("key").unionByName(found.filter(~worded).select("key")).distinct().withColumn("kept", F.lit(True))
     decided = found.select("key").join(kept, "key", "left").select("key", F.coalesce("kept", F.lit(False)).alias("kept"))
     # of rows that are copies in id and text one stays: a second is as good as dropped

@@ -477,6 +477,19 @@ def test_crop_of_a_small_part_of_a_large_image(spark):
     assert [got[i].class_id for i in range(3)] == [0, 0, 2]
 
 
+def test_one_of_each_with_null_ids(spark):
+    r = random.Random(12)
+    say = lambda: ["w%d" % r.randrange(10**6) for _ in range(80)]
+    near = lambda w: [*w[:-1], "edit%d" % r.randrange(10**6)]
+    a, b, alone, other = say(), say(), say(), say()
+    rows = [(None, alone), (None, a), (None, near(a)), (None, a), (None, near(b)), (5, b), (6, near(b)), (7, other), (None, [])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    out = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, (80, 100)).collect()
+    kept = [(x.doc_id, x.text) for x in out]
+    assert len(kept) == 5 and {rows[0], rows[5], rows[7], rows[8]} < set(kept)
+    assert sum(x in rows[1:4] for x in kept) == 1
+
+
 def test_code_in_a_script_ends_at_its_closing_tag():
     m = html.model()
     story = "<article><h1>Head</h1><p>First part of the story, which goes on for a good while, and then some.</p><p>Second part of the story, with %s and words enough to be read.</p></article>"
