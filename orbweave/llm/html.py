@@ -16,6 +16,7 @@ aren't read.
 
 from __future__ import annotations
 
+import collections
 import functools
 import html as entities
 import random
@@ -183,6 +184,11 @@ def describe(root: Node, pieces: list[tuple[Node, str | None]]) -> tuple[list[No
             paragraphs[p] = paragraphs.get(p, 0) + paragraphs[n]
     x = np.zeros((len(nodes), _WIDTH), np.float32)
     total = max(1, root.chars)
+    place: dict[Node, int] = {}
+    alike: dict[Node, collections.Counter[str]] = {}
+    for n in order:
+        place.update(zip(n.children, range(len(n.children)), strict=True))
+        alike[n] = collections.Counter(m.tag for m in n.children)
     above: dict[Node, frozenset[int]] = {}
     for i, n in enumerate(nodes):
         row, p = x[i], n.parent
@@ -197,7 +203,7 @@ def describe(root: Node, pieces: list[tuple[Node, str | None]]) -> tuple[list[No
             row[BUCKETS + t] = 1
         above[n] = (above.get(q, frozenset()) | frozenset(q.tokens)) if q else frozenset()
         mates = p.children if p else [n]
-        k = mates.index(n) if len(mates) < 200 else 0
+        k = place.get(n, 0)
         for m in (mates[k - 1] if k else None, mates[k + 1] if k + 1 < len(mates) else None):
             if m is not None:
                 for t in m.tokens:
@@ -212,7 +218,7 @@ def describe(root: Node, pieces: list[tuple[Node, str | None]]) -> tuple[list[No
             n.depth,
             len(mates),
             k / len(mates),
-            sum(m.tag == n.tag for m in mates[:200]) / min(len(mates), 200),
+            alike[p][n.tag] / len(mates) if p else 1,
             np.log1p(n.chars),
             n.chars / total,
             n.link_chars / chars,

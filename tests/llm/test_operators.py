@@ -502,3 +502,16 @@ def test_code_in_a_script_ends_at_its_closing_tag():
     assert "Second" in html.extract_all([(page % ("", "more", "")).replace("</nav>", "</nav><select><option>A<option>B")], m)[0]  # nor is this
     text = "".join(t or "|" for _, t in html.parse("<p>Say <math><mi>x</mi><mo>=</mo><mn>1</mn></math> or <svg><g><text>label</text></g></svg> here</p>")[1])
     assert text == "|Say x=1 or label here|"
+
+
+def test_features_of_many_siblings():
+    page = "<article>" + "".join('<p class="%s">Part %d.</p>' % ("advert" if i == 1 else "part", i) if i % 3 else "<ul>List %d</ul>" % i for i in range(500)) + "</article>"
+    nodes, x = html.describe(*html.parse(page))
+    o = 3 * html.BUCKETS + 2 * (len(html.TAGS) + 1)
+    mates = nodes[1].children
+    assert len(mates) == 500
+    for k, n in enumerate(mates):
+        row = x[n.node]
+        beside = {t for m in mates[max(0, k - 1) : k + 2] if m is not n for t in m.tokens}
+        assert set(np.flatnonzero(row[2 * html.BUCKETS : 3 * html.BUCKETS]).tolist()) == beside
+        assert row[o + 2] == pytest.approx(k / 500) and row[o + 3] == pytest.approx(sum(m.tag == n.tag for m in mates) / 500)
