@@ -178,8 +178,12 @@ def bresenham_until(lines: DataFrame, line_id: str, x0: str, y0: str, x1: str, y
 
 
 def sphere_trace(rays: DataFrame, starts: list[str], directions: list[str], distance: Callable[[list[Column]], Column], max_range: float, steps: int = 64, tolerance: float = 1e-6) -> DataFrame:
-    """All columns of rays with t and hit: how far each unit ray goes until the distance function is within the tolerance."""
+    """All columns of rays with t and hit: how far each unit ray goes until the distance function is within the tolerance.
+
+    A ray that starts inside goes forward to where it leaves. One that only just touches may take more than `steps` and is then no hit.
+    """
     at = lambda t: [F.col(a) + F.col(v) * t for a, v in zip(starts, directions, strict=True)]
-    t = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda t, _: F.when(t > max_range, t).otherwise(t + distance(at(t))))
+    side = F.when(distance([F.col(a) for a in starts]) < 0, -1.0).otherwise(1.0)
+    t = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), lambda t, _: F.when(t > max_range, t).otherwise(t + side * distance(at(t))))
     traced = rays.withColumn("t", t)
     return traced.withColumn("hit", (F.col("t") <= max_range) & (F.abs(distance(at(F.col("t")))) <= tolerance * 10))

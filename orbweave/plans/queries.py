@@ -469,6 +469,18 @@ def sphere_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("pt_idx", F.round("t", 3).alias("t"), "hit")
 
 
+@query(
+    f"""WITH RECURSIVE {_M}, s AS (SELECT pt_idx, x, y, CASE WHEN sqrt(x * x + y * y) < 1 THEN -1 ELSE 1 END AS side, 0 AS i, 0::DOUBLE AS t FROM m
+      UNION ALL SELECT pt_idx, x, y, side, i + 1, CASE WHEN t > 30 THEN t ELSE t + side * (sqrt((x + t) * (x + t) + y * y) - 1) END FROM s WHERE i < 64)
+SELECT pt_idx, round(t, 3) AS t, t <= 30 AND abs(sqrt((x + t) * (x + t) + y * y) - 1) <= 1e-5 AS hit FROM s WHERE i = 64"""
+)
+def sphere_traced_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events: hits, misses, rays that look away, graze or start inside."""
+    p = marks(spark, sf_dir).withColumns({"vx": F.lit(1.0), "vy": F.lit(0.0)})
+    t = rays.sphere_trace(p, ["x", "y"], ["vx", "vy"], lambda q: F.sqrt(q[0] * q[0] + q[1] * q[1]) - 1.0, 30.0)
+    return t.select("pt_idx", F.round("t", 3).alias("t"), "hit")
+
+
 # joins
 
 

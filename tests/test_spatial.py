@@ -113,6 +113,25 @@ def test_ray_traversal_in_space_moves_one_face_at_a_time(spark):
         assert all(sum(abs(x - y) for x, y in zip(a, b, strict=True)) == 1 for a, b in zip(path, path[1:], strict=False))
 
 
+def test_sphere_tracing_of_hits_misses_grazes_and_inside_starts(spark):
+    r = np.random.default_rng(6)
+    y = [0.0, 0.5, 0.9, 0.95, 0.99, 0.999, 0.9999, 1.0, 1.0001, 1.01, 1.5, -0.97, -1.0, -3.0, *r.uniform(-2, 2, 150)]
+    starts = [(float(x), float(b)) for x in (-20.0, -3.0, -0.4, 0.0, 0.3, 5.0) for b in y] + [(-40.0, 0.2), (-40.0, 2.0)]
+    df = spark.createDataFrame([(i, *p, 1.0, 0.0) for i, p in enumerate(starts)], "id int, x double, y double, vx double, vy double")
+    got = {g.id: g for g in rays.sphere_trace(df, ["x", "y"], ["vx", "vy"], lambda q: F.sqrt(q[0] * q[0] + q[1] * q[1]) - 1.0, 30.0).collect()}
+    for i, (x, b) in enumerate(starts):
+        t, side = 0.0, -1 if math.hypot(x, b) < 1 else 1
+        for _ in range(64):
+            t = t if t > 30 else t + side * (math.hypot(x + t, b) - 1)
+        assert got[i].t == pytest.approx(t, abs=1e-6) and got[i].hit == (t <= 30 and abs(math.hypot(x + t, b) - 1) <= 1e-5), (x, b)
+        root = math.sqrt(max(0.0, 1 - b * b))
+        ahead = [t for t in (-root - x, root - x) if abs(b) <= 1 and 0 <= t <= 30]
+        if got[i].hit:  # never a hit where there is none, nor behind the start
+            assert ahead and got[i].t == pytest.approx(ahead[0], abs=1e-3 if abs(b) <= 0.9 else 0.02), (x, b)
+        elif ahead:
+            assert abs(b) > 0.9, (x, b)
+
+
 def test_circle_rays_all_hit(spark):
     s = K.TreeSetting(resolution=0.05)
     a = np.linspace(-np.pi, np.pi, 720)
