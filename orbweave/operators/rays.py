@@ -125,7 +125,7 @@ def frontier(hits: DataFrame, ray_id: str, keys: list[str]) -> DataFrame:
 def nodes_on_rays(rays: DataFrame, ray_id: str, leaves: DataFrame, s: TreeSetting, starts: list[str], directions: list[str], max_range: float, padding: float = 0.0, both_ways: bool = False, min_depth: int = 0, max_depth: int | None = None, coarse: int = 6) -> DataFrame:
     """ray_id, leaf, near, far, rank: the leaves whose padded box a ray meets, nearest first, those behind it last.
 
-    Leaves and rays meet in blocks at depth `coarse` that the ray passes (leaves above it are few and are asked by all of their blocks).
+    Leaves and rays meet in blocks at depth `coarse` that the ray passes, and leaves above it in the blocks at their own depth that hold those.
     """
     from orbweave.functions.geometry import ray_box
     from orbweave.functions.keys import centre, node_size
@@ -147,9 +147,12 @@ def nodes_on_rays(rays: DataFrame, ray_id: str, leaves: DataFrame, s: TreeSettin
     for i in range(axes):
         passed = passed.withColumn(f"_o{i}", F.explode(around)).withColumn(f"_k{i}", F.col(f"_k{i}") + F.col(f"_o{i}")).drop(f"_o{i}")
     passed = passed.distinct()
-    kept = leaves.filter((F.col("d") >= max(min_depth, coarse)) & (F.col("d") <= (s.depth if max_depth is None else max_depth)))
-    small = kept.select("d", *names, "log_odds", *[prefix(k, coarse, s).alias(f"_k{i}") for i, k in enumerate(names)])
-    met = passed.join(small, [f"_k{i}" for i in range(axes)])
+    level = F.explode(F.sequence(F.lit(min(min_depth, coarse)), F.lit(coarse)))
+    passed = passed.withColumn("_d", level).withColumns({f"_k{i}": F.floor(F.col(f"_k{i}") / F.pow(F.lit(2.0), F.lit(coarse) - F.col("_d"))).cast("int") for i in range(axes)}).distinct()
+    kept = leaves.filter((F.col("d") >= min_depth) & (F.col("d") <= (s.depth if max_depth is None else max_depth)))
+    at = F.least(F.col("d"), F.lit(coarse)).cast("int")
+    placed = kept.select("d", *names, "log_odds", at.alias("_d"), *[prefix(k, at, s).alias(f"_k{i}") for i, k in enumerate(names)])
+    met = passed.join(placed, ["_d", *[f"_k{i}" for i in range(axes)]])
     low = [centre(k, s, F.col("d")) - node_size(F.col("d"), s) / 2 - padding for k in names]
     high = [centre(k, s, F.col("d")) + node_size(F.col("d"), s) / 2 + padding for k in names]
     hit, near, far = ray_box([f"_a{i}" for i in range(axes)], [f"_v{i}" for i in range(axes)], low, high)

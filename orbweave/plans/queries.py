@@ -448,7 +448,7 @@ def cast_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def nodes_on_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ray"), F.lit(0.03).alias("sx"), F.lit(0.02).alias("sy"), F.cos(F.col("s_suppkey") * 0.37).alias("vx"), F.sin(F.col("s_suppkey") * 0.37).alias("vy"))
-    return rays.nodes_on_rays(r, "ray", tree.prune(_blocky(spark, sf_dir), T, lowest=5), T, ["sx", "sy"], ["vx", "vy"], 6.0, coarse=4)
+    return rays.nodes_on_rays(r, "ray", tree.prune(_blocky(spark, sf_dir), T), T, ["sx", "sy"], ["vx", "vy"], 6.0, coarse=4)
 
 
 @query(

@@ -113,6 +113,41 @@ def test_ray_traversal_in_space_moves_one_face_at_a_time(spark):
         assert all(sum(abs(x - y) for x, y in zip(a, b, strict=True)) == 1 for a, b in zip(path, path[1:], strict=False))
 
 
+@pytest.mark.parametrize(("axes", "both_ways", "padding", "min_depth"), [(2, False, 0.0, 0), (2, True, 0.3, 2), (3, False, 0.0, 0)])
+def test_nodes_on_rays_of_a_pruned_tree(spark, axes, both_ways, padding, min_depth):
+    s = K.TreeSetting(resolution=0.25, depth=6)
+    r = np.random.default_rng(5)
+    names = ["kx", "ky", "kz"][:axes]
+    leaves, stack = [], [(0, (0,) * axes)]
+    while stack:  # leaves of all depths from 1
+        d, k = stack.pop()
+        if d == s.depth or (d > 0 and r.random() < (0.4 if axes == 2 else 0.6)):
+            leaves.append((d, *k, 0.85))
+        else:
+            half = 2 ** (s.depth - d - 1)
+            stack += [(d + 1, tuple(x + half * (j >> i & 1) for i, x in enumerate(k))) for j in range(2**axes)]
+    assert {1, 2, 3} <= {x[0] for x in leaves}
+    shot = []
+    for i in range(25):
+        v = r.normal(size=axes)
+        shot.append((i, *map(float, r.uniform(-3, 3, axes)), *map(float, v / np.linalg.norm(v))))
+    a, v = [f"a{i}" for i in range(axes)], [f"v{i}" for i in range(axes)]
+    df = spark.createDataFrame(shot, "ray int, " + ", ".join(f"{c} double" for c in [*a, *v]))
+    table = spark.createDataFrame(leaves, "d int, " + ", ".join(f"{k} int" for k in names) + ", log_odds double")
+    got = {(x.ray, x.d, *[x[k] for k in names]) for x in rays.nodes_on_rays(df, "ray", table, s, a, v, 4.5, padding, both_ways, min_depth, coarse=4).collect()}
+    want = set()
+    for i, *x in shot:
+        p, q = np.array(x[:axes]), np.array(x[axes:])
+        for d, *k, _ in leaves:
+            size = 2 ** (s.depth - d)
+            low = (np.array(k) // size * size - 32) * 0.25 - padding
+            t = np.stack([(low - p) / q, (low + size * 0.25 + 2 * padding - p) / q])
+            near, far = t.min(0).max(), t.max(0).min()
+            if d >= min_depth and near <= far and abs(near) <= 4.5 and (both_ways or far >= 0):
+                want.add((i, d, *k))
+    assert got == want and any(x[1] < 4 for x in want)
+
+
 def test_sphere_tracing_of_hits_misses_grazes_and_inside_starts(spark):
     r = np.random.default_rng(6)
     y = [0.0, 0.5, 0.9, 0.95, 0.99, 0.999, 0.9999, 1.0, 1.0001, 1.01, 1.5, -0.97, -1.0, -3.0, *r.uniform(-2, 2, 150)]
