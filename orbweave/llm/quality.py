@@ -42,7 +42,7 @@ def held_out(doc_id: Column) -> Column:
 def shape(word: str) -> str:
     """Letters as a, A or digits as 0, other characters as they are; runs of one kind are cut to two."""
     out: list[str] = []
-    for c in word[:64]:
+    for c in word:
         k = "0" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
         if len(out) < 2 or out[-1] != k or out[-2] != k:
             out.append(k)

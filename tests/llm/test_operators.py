@@ -515,3 +515,9 @@ def test_features_of_many_siblings():
         beside = {t for m in mates[max(0, k - 1) : k + 2] if m is not n for t in m.tokens}
         assert set(np.flatnonzero(row[2 * html.BUCKETS : 3 * html.BUCKETS]).tolist()) == beside
         assert row[o + 2] == pytest.approx(k / 500) and row[o + 3] == pytest.approx(sum(m.tag == n.tag for m in mates) / 500)
+
+
+def test_shape_reads_the_whole_word():
+    assert quality.shape("aB1-" * 20 + "x" * 90 + "9") == "aA0-" * 20 + "aa0"
+    long = "Zx" * 40
+    assert quality.features(long + "7 b", quality.Shapes()).tolist() != quality.features(long + "_ b", quality.Shapes()).tolist()
