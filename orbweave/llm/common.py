@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,23 +18,47 @@ from pyspark.sql import functions as F
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Where tables go if the session names no shared folder (tests only).
+#: Where tables go on one machine if the session names no shared folder.
 FALLBACK_DIR = "file:///tmp/checkpoints/orbweave"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, as the session names it."""
-    return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR).rstrip("/")
+    """The folder that the driver and all executors share, as the session names it. Unset, only one machine has one of its own."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (named or FALLBACK_DIR).rstrip("/")
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet to the shared folder and reads it back.
 
-    A lost executor costs a re-read, not a recomputation, and every reader sees the same rows.
+    A lost executor costs a re-read, not a recomputation, and every reader sees the same rows. discard() removes the table.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.orbweave_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that materialise() wrote and that nothing lazy reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.orbweave_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def fresh(docs: DataFrame, *wanted: str) -> list[str]:
+    """Column names like those wanted that docs hasn't, in any case."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name = f"_{name}"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_or_empty(col: str | Column = "text") -> Column:
@@ -134,16 +159,23 @@ def probes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m, m >> np.uint64(33)
 
 
-def bloom_bits(n: int, most: int = 26) -> int:
-    """Log2 of the bits for n members: 16 bits a member, 2**most bits (8 MB) at most whatever n is."""
+#: Log2 of the bits of a Bloom filter at most (64 MB), and the slices of one level of in_levels().
+MOST_BITS, FEW = 29, 64
+
+
+def bloom_bits(n: int, most: int = MOST_BITS) -> int:
+    """Log2 of the bits for n members: 16 bits a member, 2**most bits at most whatever n is.
+
+    At the most, half the filter's bits are set by 190 million members; beyond, it passes more rows on, never fewer.
+    """
     return min(most, max(16, math.ceil(math.log2(16 * max(n, 1)))))
 
 
 def build_bloom(df: DataFrame, column: str, n: int) -> Bloom:
     """A Bloom filter of the long column of df.
 
-    Tasks send partial bitmaps that are joined by OR before the driver gets them; the driver holds
-    2**26 bits at most, so what is broadcast later doesn't grow with the data.
+    Tasks send pieces of their bitmaps, which are joined by OR in groups of at most FEW tasks, level by level, before the
+    driver gets them; the driver holds 2**MOST_BITS bits at most, so what is broadcast later doesn't grow with the data.
     """
     log2 = bloom_bits(n)
     part = 1 << 15  # bytes of a piece
@@ -165,13 +197,33 @@ def build_bloom(df: DataFrame, column: str, n: int) -> Bloom:
         rows = [np.frombuffer(x, np.uint8) for x in table.column("bits").to_pylist()]
         return pa.table({"piece": table.column("piece")[:1], "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
 
-    pieces = df.select(F.col(column).cast("long")).mapInArrow(partial, "piece long, bits binary")
+    source = df.select(F.col(column).cast("long"))
+    pieces = in_levels(source.mapInArrow(partial, "piece long, bits binary"), "piece", either, "piece long, bits binary")
     bits = np.zeros(1 << (log2 - 3), np.uint8)
-    for row in pieces.groupBy("piece").applyInArrow(either, "piece long, bits binary").toLocalIterator():
+    for row in pieces.toLocalIterator():
         bits[row.piece : row.piece + part] = np.frombuffer(row.bits, np.uint8)[: len(bits) - row.piece]
     return Bloom(bits)
 
 
+def in_levels(parts: DataFrame, key: str, join: Callable[[pa.Table], pa.Table], schema: str, levels: int = 2) -> DataFrame:
+    """Joins the rows of each key by an associative function, in groups that hold the root of the number of tasks.
+
+    One group of a blob from each of t tasks would grow with t. Each row is put in one of FEW**level slices of its key
+    by the task that it comes from; the last level joins FEW rows a key at most.
+    """
+    at = F.spark_partition_id()
+    parts = parts.withColumn("in_slice", at)
+    for level in range(levels - 1, 0, -1):
+        parts = parts.withColumn("in_slice", F.pmod(F.col("in_slice"), F.lit(FEW**level)))
+
+        def joined(table: pa.Table) -> pa.Table:
+            slice_of = table.column("in_slice")[:1]
+            return join(table.drop_columns(["in_slice"])).append_column("in_slice", slice_of)
+
+        parts = parts.groupBy(key, "in_slice").applyInArrow(joined, f"{schema}, in_slice int")
+    return parts.drop("in_slice").groupBy(key).applyInArrow(join, schema)
+
+
 def buckets_of(values: np.ndarray, n: int) -> np.ndarray:
     """Even buckets 0 to n-1 for hashed values."""
     return ((mix(values) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -200,8 +252,9 @@ def batches_of(rows: Iterable[dict], schema: pa.Schema, size: int = 2000) -> Ite
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """A 64-bit key of a row's id and text: rows that share it are copies in both."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    """A 128-bit key of a row's id and text: rows that share it are copies in both."""
+    marked = [F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(c).cast("string"))) for c in (id_col, text_col)]
+    return F.unhex(F.md5(F.concat(marked[0], F.lit("\0"), marked[1]).cast("binary")))
 
 
 def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,11 +263,14 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     Rows whose key no dropped row has, nearly all, are passed on where they are; the others alone are joined. Which are
     which is told by a Bloom filter of bounded size.
     """
-    dropped = materialise(decided.filter(~F.col("kept")).select("key"), "dropped")
+    dropped = materialise(decided.filter(~F.col("kept")).select(F.xxhash64("key").alias("key")), "dropped")
     n = rows_of(dropped)
     if n == 0:
+        discard(dropped)
         return docs
     bits = build_bloom(dropped, "key", n).bits
+    discard(dropped)
+    key, doubt = fresh(docs, "row_key", "row_doubt")
 
     def doubtful(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bloom = Bloom(bits)
@@ -222,11 +278,11 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
             yield pd.Series(bloom.has(k.to_numpy().astype(np.int64).view(np.uint64)), dtype="bool")
 
     doubtful.__annotations__ = {"keys": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    marked = docs.withColumn("_row_key", row_key(id_col, text_col))
-    marked = marked.withColumn("_row_doubt", F.pandas_udf(doubtful, "boolean")("_row_key"))
-    kept = decided.filter("kept").select(F.col("key").alias("_row_key")).distinct()
-    some = marked.filter("_row_doubt").join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"])
-    every = marked.filter(~F.col("_row_doubt")).unionByName(some)
+    marked = docs.withColumn(key, row_key(id_col, text_col))
+    marked = marked.withColumn(doubt, F.pandas_udf(doubtful, "boolean")(F.xxhash64(key)))
+    kept = decided.filter("kept").select(F.col("key").alias(key)).distinct()
+    some = marked.filter(F.col(doubt)).join(kept, key, "left_semi").dropDuplicates([key])
+    every = marked.filter(~F.col(doubt)).unionByName(some)
     return every.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

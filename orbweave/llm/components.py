@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import materialise
+from orbweave.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -14,7 +14,7 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Each round hangs every node's larger neighbours on its smallest neighbour, then every node and its
     smaller neighbours on the smallest of them, until nothing moves. Each step is a minimum by node with partial
     aggregation and a join that adaptive execution may split, so a hub's edges needn't meet in one task;
-    the rounds grow with the logarithm of the longest path. Each round is a table in the shared folder.
+    the rounds grow with the logarithm of the longest path. Each round is a table in the shared folder, removed once the next is written.
     """
     now = materialise(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "stars")
     mark = None
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         # small stars
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "stars")
+        before, now = now, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "stars")
+        discard(before)
         was, mark = mark, now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if was == mark:
             break

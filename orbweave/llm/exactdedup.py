@@ -27,7 +27,7 @@ from orbweave.llm.common import SPACE, Bloom, build_bloom, join_skewed, keep_row
 _DELETE = SPACE.encode()
 #: Blocks of a merged filter hold about so many fingerprints.
 BLOCK = 1 << 17
-_NARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n_chars", pa.int64()), ("fp", pa.int64()), ("sha", pa.binary())])
+_NARROW = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("n_chars", pa.int64()), ("fp", pa.int64()), ("sha", pa.binary())])
 
 
 def normalised(text: str | None) -> bytes:
@@ -53,7 +53,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 shas.append(hashlib.sha256(norm).digest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(chars, pa.int64()), pa.array(fps, pa.int64()), pa.array(shas, pa.binary())], schema=_NARROW)
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, key long, n_chars long, fp long, sha binary")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, key binary, n_chars long, fp long, sha binary")
     return narrow.withColumn("rid", F.monotonically_increasing_id())
 
 

@@ -6,16 +6,21 @@ is partitioned by hash and subsets of the partitions are enumerated so that sets
 must agree on one subset, a shared signature:
 
 * k <= 7: k//2 + 1 groups of three partitions; in some group one feature differs at most, so one of the
-  group's three pairs of partitions agrees (each pair is a signature).
-* k > 7: k + 1 + t partitions, each a signature: t + 1 at least agree. A set with t light partitions (under two
-  features) at most leaves these out, as one heavy partition still agrees; other sets send all.
+  group's three pairs of partitions agrees (each pair is a signature). Pairs that agree are equal, and so
+  equally light: a pair under LIGHT features is signed together with each signature of a second enumeration, by another hash,
+  which the two sets must share as well. So no signature stands for nearly nothing.
+* k > 7: N = k + 1 + t partitions, each a signature. A set whose partners differ in d features at most agrees with them on
+  N - d. It signs the partitions of L features and more, for the largest L that leaves out under N - d of them: of the
+  agreeing partitions one at least has L features, and a partner with a lower L signs that too.
 
 Signatures meet in buckets of about a million; those of one set alone, nearly all, go no further. To the shared ones
-their sets' sizes and histograms are brought: these bound the difference of two sets from below and
-refute nearly all chance meetings; sets that pass are joined into candidate classes by a union-find, so that a signature shared by thousands of sets costs a comparison each, not all pairs. Only the
-candidate classes' sets are then compared exactly, in groups of bounded size (a large class is cut in chunks
-and each pair of chunks is a group), again by union-find, with a prefix filter that loses no link. What is
-returned is each document's component: no link is dropped, and copies aren't expanded into pairs.
+their sets' sizes and histograms are brought, of a bin for about four features: these bound the difference of two sets from
+below and refute nearly all chance meetings; sets that pass are joined into candidate classes by a union-find, so that a
+signature shared by thousands of sets costs a comparison each, not all pairs. Only the candidate classes' sets are then
+compared exactly, with a prefix filter that loses no link. A class is cut in chunks of bounded size, each compared within
+and with the class's PIVOTS, the sets that meet most others; only sets that are still apart from the largest part
+are compared with the other chunks. What is returned is each document's component: no link is dropped, and copies
+aren't expanded into pairs.
 
 Equal sets are one node, named by a 64-bit digest of the set. Defined cases: null and empty texts have the empty set and
 link with nothing; fewer words than n make one n-gram of all words; repeated rows are copies and link; null
@@ -24,7 +29,7 @@ ids are never smallest unless alone; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Bloom, Hashes, as_bytes, buckets_of, build_bloom, join_skewed, keep_rows, lower_words, materialise, mix, row_key, rows_of, split_by, window_hashes
+from orbweave.llm.common import Bloom, Hashes, as_bytes, buckets_of, build_bloom, discard, join_skewed, keep_rows, lower_words, materialise, mix, row_key, rows_of, split_by, window_hashes
 from orbweave.llm.components import Union, connected_components
 
 #: Words in an n-gram, and the least similarity as a fraction.
 WORDS, SIMILARITY = 4, (85, 100)
-#: Width of a size band, features under which a partition is light, histogram bins, signatures in a bucket.
-RATIO, LIGHT, BINS, BUCKET = 1.25, 2, 32, 1 << 20
-#: Features compared in one task: a class beyond this is compared chunk by chunk.
-CHUNK = 6_000_000
+#: Width of a size band, features under which a pair of partitions is light, signatures in a bucket.
+RATIO, LIGHT, BUCKET = 1.25, 2, 1 << 20
+#: Features of a chunk of a class, and the sets that all of its chunks are compared with.
+CHUNK, PIVOTS = 250_000, 4
 
 
 def shingles(text: bytes | None, n: int, hashes: Hashes) -> np.ndarray:
@@ -73,41 +78,62 @@ class Bands:
             self.band(self.lows[-1])
         return (self.den - self.num) * 2 * (self.lows[label + 1] - 1) // (self.den + self.num)
 
-    def plan(self, label: int) -> tuple[int, int, np.ndarray, np.ndarray]:
-        """(k, t, the partitions' least hashes, a salt for each signature)."""
+    def plan(self, label: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(k, the partitions' least hashes, a salt for each signature)."""
         if label not in self.plans:
             k = self.most_different(label)
-            t = -(-3 * (k + 1) // 10) if k > 7 else 0
-            n = 1 if k == 0 else 3 * (k // 2 + 1) if k <= 7 else k + 1 + t
+            n = 1 if k == 0 else 3 * (k // 2 + 1) if k <= 7 else k + 1 + -(-3 * (k + 1) // 10)
             edges = np.array([(j << 64) // n for j in range(n)], np.uint64)
-            self.plans[label] = k, t, edges, mix(np.arange(3 * n, dtype=np.uint64) + np.uint64((label + 1) << 32))
+            self.plans[label] = k, edges, mix(np.arange(3 * n, dtype=np.uint64) + np.uint64((label + 1) << 32))
         return self.plans[label]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
         """The signatures of a sorted set."""
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
-        out = []
+        sums, out, again = _sums(s), [], None
         for label in self.labels(len(s)):
-            k, t, edges, salts = self.plan(label)
+            k, edges, salts = self.plan(label)
             cut = np.append(np.searchsorted(s, edges), len(s))
-            part = sums[cut[1:]] - sums[cut[:-1]]
-            if k == 0 or k > 7:
-                signed = mix(part ^ salts[: len(part)])
-                if k:
-                    heavy = np.diff(cut) >= LIGHT
-                    if len(part) - heavy.sum() <= t:
-                        signed = signed[heavy]
-                out.append(signed)
+            part, held = sums[cut[1:]] - sums[cut[:-1]], np.diff(cut)
+            if k == 0:
+                out.append(mix(part ^ salts[:1]))
+            elif k > 7:
+                apart = (self.den - self.num) * (len(s) + self.lows[label + 1] - 1) // (self.den + self.num)
+                level = np.partition(held, len(held) - apart - 1)[len(held) - apart - 1]
+                out.append(mix(part ^ salts[: len(part)])[held >= level])
             else:
-                g = part.reshape(-1, 3)
-                odd = np.uint64(0xD6E8FEB86659FD93)
-                pairs = np.stack([g[:, 0] * odd + g[:, 1], g[:, 0] * odd + g[:, 2], g[:, 1] * odd + g[:, 2]], 1).ravel()
-                out.append(mix(pairs ^ salts[: len(pairs)]))
+                signed, light = _pairs(part, held)
+                signed = mix(signed ^ salts[: len(signed)])
+                out.append(signed[~light])
+                if light.any():
+                    if again is None:
+                        other = np.sort(mix(s ^ np.uint64(0xA24BAED4963EE407)))
+                        again = other, _sums(other)
+                    cut = np.append(np.searchsorted(again[0], edges), len(s))
+                    second, _ = _pairs(again[1][cut[1:]] - again[1][cut[:-1]], np.diff(cut))
+                    out.append(mix(signed[light][:, None] + mix(second ^ salts[: len(second)])[None, :]).ravel())
         return np.concatenate(out)
 
 
+def _sums(s: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(s), dtype=np.uint64)])
+
+
+def _pairs(part: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair of the partitions of each group of three, and whether it is light."""
+    g, n = part.reshape(-1, 3), held.reshape(-1, 3)
+    odd = np.uint64(0xD6E8FEB86659FD93)
+    pairs = np.stack([g[:, 0] * odd + g[:, 1], g[:, 0] * odd + g[:, 2], g[:, 1] * odd + g[:, 2]], 1).ravel()
+    return pairs, np.stack([n[:, 0] + n[:, 1], n[:, 0] + n[:, 2], n[:, 1] + n[:, 2]], 1).ravel() < LIGHT
+
+
+def bins_of(size: int | np.ndarray) -> int | np.ndarray:
+    """Bins of the histogram of a set: a power of two, about a quarter of its size; 32 to 16384."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(size, 1) / 4)), 5, 14).astype(np.int64)
+
+
 def histogram(s: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+    n = int(bins_of(len(s)))
+    return np.minimum(np.bincount((s & np.uint64(n - 1)).astype(np.int64), minlength=n), 255).astype(np.uint8)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -116,8 +142,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 _SIG = np.dtype([("sig", "<u8"), ("node", "<i8")])
-_SET = np.dtype([("node", "<i8"), ("size", "<u4"), ("bins", "u1", BINS)])
-_FULL = np.dtype([("sig", "<u8"), ("set", _SET)])
+_SET = np.dtype([("node", "<i8"), ("size", "<u4")])
 
 
 def _blobs(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
@@ -139,7 +164,7 @@ def describe_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
                 bins.append(histogram(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bins, pa.binary())], ["doc_id", "key", "n", "node", "bins"])
 
-    return docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), as_bytes(text_col)).mapInArrow(run, "doc_id long, key long, n long, node long, bins binary")
+    return docs.select(F.col(id_col).cast("long"), row_key(id_col, text_col), as_bytes(text_col)).mapInArrow(run, "doc_id long, key binary, n long, node long, bins binary")
 
 
 def sign(docs: DataFrame, n: int, similarity: tuple[int, int], buckets: int, text_col: str) -> DataFrame:
@@ -190,62 +215,96 @@ def shared_signatures(signed: DataFrame, groups: int) -> DataFrame:
     return signed.groupBy("bucket").applyInArrow(run, "bucket long, blob binary")
 
 
+class Sets:
+    """Sizes and histograms of sets, in the order of their nodes."""
+
+    def __init__(self, heads: np.ndarray, bins: np.ndarray):
+        order = np.argsort(heads["node"], kind="stable")
+        widths = bins_of(heads["size"].astype(np.int64)) if len(heads) else np.zeros(0, np.int64)
+        starts = np.cumsum(widths) - widths
+        order = order[np.concatenate([[True], heads["node"][order][1:] != heads["node"][order][:-1]])] if len(order) else order
+        self.node, self.size = heads["node"][order], heads["size"][order].astype(np.int64)
+        self.width, self.start, self.bins = widths[order], starts[order], bins
+
+    def some(self, at: np.ndarray) -> tuple[bytes, bytes]:
+        """Heads and histograms of some sets."""
+        heads = np.zeros(len(at), _SET)
+        heads["node"], heads["size"] = self.node[at], self.size[at]
+        return heads.tobytes(), b"".join(self.bins[a : a + w].tobytes() for a, w in zip(self.start[at].tolist(), self.width[at].tolist(), strict=True))
+
+    def near(self, a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+        """Whether pairs may be linked: sizes and histograms differ by no more than linked sets can."""
+        num, den = similarity
+        both, fits = self.size[a] + self.size[b], np.zeros(len(a), bool)
+        able = np.flatnonzero((den - num) * both >= (den + num) * np.abs(self.size[a] - self.size[b]))
+        kinds = self.width[a[able]] * 65536 + self.width[b[able]]
+        for kind in np.unique(kinds).tolist():
+            wa, wb = divmod(kind, 65536)
+            least, mine = min(wa, wb), able[kinds == kind]
+            for k in range(0, len(mine), max(1, (1 << 21) // max(wa, wb))):
+                p = mine[k : k + max(1, (1 << 21) // max(wa, wb))]
+                # a histogram of more bins folds to one of fewer
+                x, y = (self.bins[self.start[c[p]][:, None] + np.arange(w)].reshape(len(p), -1, least).sum(1, dtype=np.int32) for c, w in ((a, wa), (b, wb)))
+                fits[p] = (den - num) * both[p] >= (den + num) * np.abs(x - y).sum(1)
+        return fits
+
+
+def _sets(table: pa.Table) -> Sets:
+    return Sets(_all(table, _SET, "heads"), _all(table, np.dtype(np.uint8), "bins"))
+
+
+_FULL = "bucket long, blob binary, heads binary, bins binary"
+
+
 def attach_sets(shared: DataFrame, nodes: DataFrame, groups: int, buckets: int) -> DataFrame:
-    """bucket (of signatures), blob: shared signatures with their sets' sizes and histograms."""
+    """bucket (of signatures), blob, heads, bins: shared signatures, and once for each piece the sizes and histograms of its sets."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = np.zeros(b.num_rows, _SET)
-            rows["node"], rows["size"] = b.column("node").to_numpy(), b.column("n").to_numpy()
-            rows["bins"] = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-            if len(rows):
-                yield _blobs(rows, buckets_of(rows["node"].copy().view(np.uint64), groups))
+            heads = np.zeros(b.num_rows, _SET)
+            heads["node"], heads["size"] = b.column("node").to_numpy(), b.column("n").to_numpy()
+            bins = b.column("bins").to_pylist()
+            parts = list(split_by(buckets_of(heads["node"].copy().view(np.uint64), groups), np.arange(len(heads))))
+            yield _full([k for k, _ in parts], [None] * len(parts), [heads[at].tobytes() for _, at in parts], [b"".join(bins[i] for i in at) for _, at in parts])
 
     def run(table: pa.Table) -> pa.Table:
-        sets, sigs = _all(table, _SET, "sets"), _all(table, _SIG)
-        if not len(sigs):
-            return pa.table({"bucket": pa.array([], pa.int64()), "blob": pa.array([], pa.binary())})
-        sets = sets[np.argsort(sets["node"], kind="stable")]
-        out = np.zeros(len(sigs), _FULL)
-        out["sig"], out["set"] = sigs["sig"], sets[np.searchsorted(sets["node"], sigs["node"])]
-        return pa.Table.from_batches([_blobs(out, buckets_of(out["sig"], buckets))])
+        sets, sigs = _sets(table), _all(table, _SIG)
+        at = np.searchsorted(sets.node, sigs["node"])
+        parts = list(split_by(buckets_of(sigs["sig"], buckets), sigs, at))
+        with_sets = [sets.some(np.unique(where)) for _, _, where in parts]
+        return pa.Table.from_batches([_full([k for k, _, _ in parts], [x.tobytes() for _, x, _ in parts], [h for h, _ in with_sets], [x for _, x in with_sets])])
 
-    described = nodes.select("node", "n", "bins").mapInArrow(send, "bucket long, blob binary").select("bucket", F.lit(None).cast("binary").alias("blob"), F.col("blob").alias("sets"))
-    both = shared.select("bucket", "blob", F.lit(None).cast("binary").alias("sets")).unionByName(described)
-    return both.groupBy("bucket").applyInArrow(run, "bucket long, blob binary")
+    described = nodes.select("node", "n", "bins").mapInArrow(send, _FULL)
+    both = shared.selectExpr("bucket", "blob", "cast(null as binary) heads", "cast(null as binary) bins").unionByName(described)
+    return both.groupBy("bucket").applyInArrow(run, _FULL)
 
 
-def near(sizes: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
-    """Whether pairs may be linked: the histograms differ by no more than linked sets can."""
-    num, den = similarity
-    both = sizes[a] + sizes[b]
-    apart = np.abs(bins[a].astype(np.int16) - bins[b].astype(np.int16)).sum(1)
-    fits = (den - num) * both >= (den + num) * np.maximum(apart, np.abs(sizes[a] - sizes[b]))
-    return fits
+def _full(buckets: list, blobs: list, heads: list, bins: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), *(pa.array(x, pa.binary()) for x in (blobs, heads, bins))], ["bucket", "blob", "heads", "bins"])
 
 
 def candidate_links(full: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """a, b: a spanning forest, for each bucket, of the sets that share a signature and may be linked."""
+    """a, b, meets: a spanning forest, for each bucket, of the sets that share a signature and may be linked.
+
+    Rows with a = b tell how many others a set meets in the bucket's signatures.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        rows = _all(table, _FULL)
-        nodes, first, at = np.unique(rows["set"]["node"], return_index=True, return_inverse=True)
-        sizes, bins = rows["set"]["size"][first].astype(np.int64), rows["set"]["bins"][first]
-        order = np.lexsort((at, rows["sig"]))
-        sigs, at = rows["sig"][order], at[order]
-        starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+        sets, rows = _sets(table), _all(table, _SIG)
+        order = np.lexsort((rows["node"], rows["sig"]))
+        sigs, at = rows["sig"][order], np.searchsorted(sets.node, rows["node"][order])
+        starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, np.int64)
         counts = np.diff(np.append(starts, len(sigs)))
+        meets = np.bincount(at, np.repeat(counts - 1, counts), len(sets.node)).astype(np.int64)
         starts, counts = starts[counts > 1], counts[counts > 1]
-        union = Union(len(nodes))
+        union = Union(len(sets.node))
         # each member with the first of its signature, then the rest
         a = np.repeat(at[starts], counts - 1)
         b = at[np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)] if len(starts) else at[:0]
         b = np.delete(b, np.cumsum(counts) - counts) if len(starts) else b
         pairs = np.unique(np.stack([a, b], 1), axis=0)
-        for k in range(0, len(pairs), 200_000):
-            p = pairs[k : k + 200_000]
-            for x, y in p[near(sizes, bins, p[:, 0], p[:, 1], similarity)].tolist():
-                union.join(x, y)
+        for x, y in pairs[sets.near(pairs[:, 0], pairs[:, 1], similarity)].tolist():
+            union.join(x, y)
         done = set()
         for s, c in zip(starts.tolist(), counts.tolist(), strict=True):
             if c > 2:
@@ -253,15 +312,16 @@ def candidate_links(full: DataFrame, similarity: tuple[int, int]) -> DataFrame:
                 key = members.tobytes()
                 if key not in done:
                     done.add(key)
-                    _join_rest(members, union, sizes, bins, similarity)
-        roots = [union.find(x) for x in range(len(nodes))]
-        moved = [x for x, r in enumerate(roots) if r != x]
-        return pa.table({"a": nodes[[roots[x] for x in moved]] if moved else nodes[:0], "b": nodes[moved] if moved else nodes[:0]})
+                    _join_rest(members, union, sets, similarity)
+        roots = np.array([union.find(x) for x in range(len(sets.node))], np.int64)
+        moved = np.flatnonzero(roots != np.arange(len(roots)))
+        met = np.flatnonzero(meets)
+        return pa.table({"a": np.concatenate([sets.node[roots[moved]], sets.node[met]]), "b": np.concatenate([sets.node[moved], sets.node[met]]), "meets": np.concatenate([np.zeros(len(moved), np.int64), meets[met]])})
 
-    return full.groupBy("bucket").applyInArrow(run, "a long, b long")
+    return full.groupBy("bucket").applyInArrow(run, "a long, b long, meets long")
 
 
-def _join_rest(members: np.ndarray, union: Union, sizes: np.ndarray, bins: np.ndarray, similarity: tuple[int, int]) -> None:
+def _join_rest(members: np.ndarray, union: Union, sets: Sets, similarity: tuple[int, int]) -> None:
     """Compares members that are still apart: the smallest class with all others, until it joins one or is left alone."""
     classes: dict[int, list[int]] = {}
     for x in members.tolist():
@@ -274,7 +334,7 @@ def _join_rest(members: np.ndarray, union: Union, sizes: np.ndarray, bins: np.nd
             hits = set()
             for k in range(0, len(others), 100_000):
                 part = others[k : k + 100_000]
-                hits |= {union.find(y) for y in part[near(sizes, bins, np.full(len(part), x), part, similarity)].tolist()}
+                hits |= {union.find(y) for y in part[sets.near(np.full(len(part), x), part, similarity)].tolist()}
             if hits - {union.find(x)}:
                 for r in hits:
                     union.join(x, r)
@@ -287,10 +347,13 @@ def _join_rest(members: np.ndarray, union: Union, sizes: np.ndarray, bins: np.nd
         classes = joined
 
 
-def link_sets(sets: list[np.ndarray], similarity: tuple[int, int]) -> Union:
-    """The classes of sorted sets under links, exactly."""
+def link_sets(sets: list[np.ndarray], similarity: tuple[int, int], parts: list[int] | None = None) -> Union:
+    """The classes of sorted sets under links, exactly. parts: sets of the same part are known to be connected."""
     num, den = similarity
     union = Union(len(sets))
+    known: dict[int, int] = {}
+    for i, p in enumerate(parts or []):
+        union.join(known.setdefault(p, i), i)
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
 
     def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -305,7 +368,7 @@ def link_sets(sets: list[np.ndarray], similarity: tuple[int, int]) -> Union:
     leaders: list[int] = []
     for i in order:  # most members of a class of copies are linked with one of its first
         for x in leaders[-4:]:
-            if linked(sets[x], sets[i]):
+            if union.find(x) == union.find(i) or linked(sets[x], sets[i]):
                 union.join(x, i)
                 break
         else:
@@ -360,6 +423,68 @@ def candidate_sets(docs: DataFrame, members: Bloom, n: int, text_col: str) -> Da
     return docs.select(as_bytes(text_col)).mapInArrow(run, "node long, feats binary")
 
 
+def compared(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, classes: DataFrame, n: int, similarity: tuple[int, int], text_col: str) -> tuple[DataFrame, bool]:
+    """a, b: links that connect what is linked within each candidate class, by exact comparison of whole sets.
+
+    The flag tells that no class was cut, so that each component is a star around a.
+    """
+    bloom = build_bloom(classes, "node", rows_of(classes))
+    sets = candidate_sets(docs, bloom, n, text_col).groupBy("node").agg(F.any_value("feats").alias("feats"))
+    sized = classes.join(nodes.select("node", "n"), "node")
+    of = sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.lit(1), F.ceil(F.sum("n") / CHUNK)).cast("int").alias("chunks"))
+    chunk = lambda chunks: F.pmod(F.xxhash64("node"), chunks).cast("int")
+    placed = join_skewed(classes, of, "root", "members", rows_of(classes)).withColumn("chunk", chunk(F.col("chunks")))
+    placed = materialise(sets.join(placed, "node").select("node", "feats", "root", "chunks", "chunk"), "jaccard-sets")
+    several = placed.filter("chunks > 1")
+    # the sets that meet most others, of each PIVOTS-th part of a class, go to all of its chunks
+    met = candidates.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("meets").alias("meets"))
+    best = several.select("node", "root", "chunks").join(met, "node").groupBy("root", "chunks", F.pmod(F.xxhash64(F.lit("pivot"), "node"), F.lit(PIVOTS)).alias("part"))
+    best = best.agg(F.max(F.struct("meets", "node")).alias("best")).select(F.col("best.node").alias("node"), "root", F.sequence(F.lit(0), F.col("chunks") - 1).alias("to"))
+    pivots = several.select("node", "feats", "chunk").join(best, "node").select("node", "feats", "root", "chunk", F.explode("to").alias("in"))
+    inner = placed.select("node", "feats", "root", F.col("chunk").alias("in")).unionByName(pivots.filter("chunk <> in").select("node", "feats", "root", "in"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("node").to_numpy(), kind="stable")
+        of = table.column("node").to_numpy()[order]
+        feats = table.column("feats").to_pylist()
+        parts = table.column("part").to_numpy()[order].tolist() if "part" in table.column_names else None
+        union = link_sets([np.frombuffer(feats[i], np.uint64) for i in order], similarity, parts)
+        roots = np.array([union.find(i) for i in range(len(of))], np.int64)
+        moved = np.flatnonzero(roots != np.arange(len(of)))
+        return pa.table({"a": of[roots[moved]], "b": of[moved]})
+
+    links = materialise(inner.groupBy("root", "in").applyInArrow(compare, "a long, b long"), "jaccard-links")
+    stars = rows_of(several.limit(1)) == 0
+    if not stars:
+        links = links_across(several, links, compare)
+    discard(placed)
+    return links, stars
+
+
+def links_across(several: DataFrame, links: DataFrame, compare: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """The links within chunks, with those between chunks of sets that these leave apart.
+
+    Of each class the sets outside its largest part, cut in chunks anew, are compared with all of its chunks.
+    """
+    parts = connected_components(links).withColumnRenamed("root", "part")
+    known = several.select("node", "root", "chunks", "chunk").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    known = materialise(known, "jaccard-parts")
+    sizes = known.groupBy("root", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy("root").agg(F.count(F.lit(1)).alias("of"), F.sum("n").alias("members"), F.max(F.struct("n", "part"))["part"].alias("largest")).filter("of > 1")
+    known = join_skewed(known, largest, "root", "members", rows_of(known), "inner")
+    apart = F.col("part") != F.col("largest")
+    rest = known.filter(apart).join(several.select("node", F.octet_length("feats").alias("bytes")), "node").groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("bytes") / 8 / CHUNK)).cast("int").alias("rests"), F.first("members").alias("members"))
+    known = materialise(join_skewed(known.drop("members"), rest, "root", "members", rows_of(known), "inner"), "jaccard-apart")
+    second = F.pmod(F.xxhash64(F.lit("rest"), "node"), F.col("rests")).cast("int")
+    mine = known.filter(apart).select("node", "part", "root", second.alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+    theirs = known.select("node", "part", "root", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("i"), F.col("chunk").alias("j"))
+    met = mine.unionByName(theirs).distinct().join(several.select("node", "feats"), "node")
+    across = met.groupBy("root", "i", "j").applyInArrow(compare, "a long, b long")
+    every = materialise(links.unionByName(across), "jaccard-links")
+    discard(links)
+    return every
+
+
 def components(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and the row's key for every row."""
     return rows_of_classes(docs, n, similarity, id_col, text_col).drop("root")
@@ -375,32 +500,12 @@ def rows_of_classes(docs: DataFrame, n: int, similarity: tuple[int, int], id_col
     nodes = materialise(nodes, "partenum-nodes")
     fewer = max(1, buckets // 4)
     full = attach_sets(shared_signatures(sign(docs, n, similarity, buckets, text_col), fewer), nodes, fewer, fewer)
-    classes = materialise(connected_components(materialise(candidate_links(full, similarity), "partenum-links")), "partenum-classes")
-
-    # compare the sets of each candidate class
-    weighed = classes.join(nodes.select("node", "n"), "node")
-    chunks = weighed.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / CHUNK)).cast("int").alias("chunks"))
-    bloom = build_bloom(classes, "node", rows_of(classes))
-    sets = candidate_sets(docs, bloom, n, text_col).groupBy("node").agg(F.any_value("feats").alias("feats"))
-    placed = classes.join(F.broadcast(chunks.filter("chunks > 1")), "root", "left").select("node", "root", F.coalesce("chunks", F.lit(1)).alias("chunks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    grouped = sets.join(placed, "node").select("node", "feats", "root", F.explode(pairs).alias("pair"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        found = [np.frombuffer(x, np.uint64) for x in table.column("feats").to_pylist()]
-        union = link_sets(found, similarity)
-        of = table.column("node").to_pylist()
-        roots = [union.find(i) for i in range(len(of))]
-        return pa.table({"a": pa.array([of[r] for i, r in enumerate(roots) if r != i], pa.int64()), "b": pa.array([of[i] for i, r in enumerate(roots) if r != i], pa.int64())})
-
-    links = materialise(grouped.groupBy("root", "pair").applyInArrow(compare, "a long, b long"), "jaccard-links")
-    if chunks.agg(F.max("chunks")).first()[0] in (None, 1):
-        linked = links.select(F.col("b").alias("node"), F.col("a").alias("root"))  # one group a class: these are stars
-    else:
-        linked = connected_components(links)
-    linked = nodes.join(linked, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
+    candidates = materialise(candidate_links(full, similarity), "partenum-links")
+    classes = materialise(connected_components(candidates), "partenum-classes")
+    links, stars = compared(docs, nodes, candidates, classes, n, similarity, text_col)
+    discard(candidates, classes)
+    linked = links.select(F.col("b").alias("node"), F.col("a").alias("root")) if stars else connected_components(links)
+    linked = nodes.select("node", "least", "copies").join(linked, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
     named = materialise(join_skewed(linked.select("node", "copies", "root"), smallest, "root", "members", rows_of(nodes)), "jaccard-classes")
     named = named.select("node", "copies", "root", "component_id")
