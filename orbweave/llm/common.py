@@ -293,10 +293,10 @@ def rows_of(df: DataFrame) -> int:
 def join_skewed(rows: DataFrame, groups: DataFrame, key: str, members: str, n: int, how: str = "left") -> DataFrame:
     """Joins rows with one row a group, whatever share of the rows a group holds.
 
-    Groups of over n/1000 (and 10,000) members number 1,000 at most by arithmetic, so they are broadcast;
+    Groups of over n/1000 (and 500) members number 1,000 at most by arithmetic, so they are broadcast;
     no key of the shuffled rest is hot.
     """
-    hot = F.col(members) > max(10_000, n // 1000)
+    hot = F.col(members) > max(500, n // 1000)
     few = groups.filter(hot)
     if rows_of(few) == 0:
         return rows.join(groups, key, how)
