@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import WORD, materialise, row_key, text_or_empty
+from orbweave.llm.common import WORD, fresh, materialise, row_key, text_or_empty
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
@@ -84,7 +84,8 @@ def mixed_documents(docs: DataFrame, **columns: str) -> DataFrame:
     Rows that are copies in id and text are one row, taken as often as they are together.
     """
     id_col, text_col = columns.get("id_col", "doc_id"), columns.get("text_col", "text")
-    taken = mix(docs, **columns).groupBy(F.col("key").alias("_mix_key")).agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows"))
-    joined = docs.withColumn("_mix_key", row_key(id_col, text_col)).join(taken.filter("_mix_copies > 0"), "_mix_key")
-    one = joined.filter("_mix_rows = 1").unionByName(joined.filter("_mix_rows > 1").dropDuplicates(["_mix_key"]))
-    return one.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key, copies, rows, copy = fresh(docs, "mix_key", "mix_copies", "mix_rows", "mix_copy")
+    taken = mix(docs, **columns).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    joined = docs.withColumn(key, row_key(id_col, text_col)).join(taken.filter(F.col(copies) > 0), key)
+    one = joined.filter(F.col(rows) == 1).unionByName(joined.filter(F.col(rows) > 1).dropDuplicates([key]))
+    return one.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import as_bytes, words
+from orbweave.llm.common import as_bytes, fresh, words
 
 LABELLED, NEIGHBOURS, LATENT, FEATURES = 4096, 15, 48, 1024
 #: Rows whose crc32(doc_id as text) mod FOLDS is 0 are never learnt from.
@@ -136,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(xs, pa.binary())], ["id", "label", "x"])
 
     # the sample has `labelled` rows at most
-    texts = docs.join(F.broadcast(sample), F.col(id_col) == F.col("_id")).select(F.col("_id").cast("long"), "_label", as_bytes(text_col))
+    found = docs.select(F.col(id_col).alias("id"), as_bytes(text_col).alias("text")).join(F.broadcast(sample), F.col("id") == F.col("_id"))
+    texts = found.select(F.col("_id").cast("long"), "_label", "text")
     rows = texts.mapInArrow(run, "id long, label int, x binary").groupBy("id").agg(F.min(F.struct("x", "label")).alias("m")).orderBy("id").collect()
     x = np.array([np.frombuffer(r.m.x, np.float32) for r in rows]) if rows else np.zeros((0, FEATURES), np.float32)
     y = np.array([r.m.label for r in rows], np.float64)
@@ -161,13 +162,14 @@ def score_column(votes: Votes, text: Column, block: int = 512) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of docs, with quality_score and quality_predicted."""
+    """All columns of docs, with quality_score and quality_predicted (with a leading _ for each column so named already)."""
     votes = fit(docs, labels, id_col, text_col, label_col)
-    scored = docs.withColumn("quality_score", score_column(votes, F.coalesce(as_bytes(text_col), F.lit(b""))))
-    return scored.withColumn("quality_predicted", F.when(F.col("quality_score") >= threshold, 1).otherwise(0))
+    score, predicted = fresh(docs, "quality_score", "quality_predicted")
+    scored = docs.withColumn(score, score_column(votes, F.coalesce(as_bytes(text_col), F.lit(b""))))
+    return scored.withColumn(predicted, F.when(F.col(score) >= threshold, 1).otherwise(0))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
     """The rows of docs that the classifier doesn't reject, with all their columns."""
-    scored = classify(docs.select("*"), labels, **columns)
-    return scored.filter("quality_predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = classify(docs, labels, **columns)
+    return scored.filter(F.col(scored.columns[-1]) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
