@@ -64,9 +64,10 @@ def in_tree(k: Column | str, s: TreeSetting) -> Column:
 
 
 def checked_key(c: Column | str, s: TreeSetting) -> Column:
-    """Key of a coordinate, null outside the tree."""
-    k = key(c, s)
-    return F.when(in_tree(k, s), k)
+    """Key of a coordinate; null outside the tree, for infinities, NaN and null."""
+    cells = _c(c) / F.lit(float(s.resolution))
+    inside = (cells >= F.lit(float(-s.offset))) & (cells < F.lit(float(s.offset))) & ~F.isnan(cells)
+    return F.when(inside, (F.floor(cells) + s.offset).cast("int"))
 
 
 def at_depth(k: Column | str, d: Column | int, s: TreeSetting) -> Column:
@@ -137,6 +138,12 @@ def common_ancestor_depth(a: list[Column | str], b: list[Column | str], s: TreeS
     return F.when(differ == 0, s.depth).otherwise(F.lit(s.depth) - F.length(F.bin(differ.cast("long")))).cast("int")
 
 
+def common_ancestor(a: list[Column | str], b: list[Column | str], s: TreeSetting) -> list[Column]:
+    """Key on each axis of the deepest block that holds both keys."""
+    d = common_ancestor_depth(a, b, s)
+    return [F.when(d == 0, s.offset).otherwise(at_depth(k, d, s)).cast("int") for k in a]
+
+
 def _spread(k: Column, steps: list[tuple[int, int]]) -> Column:
     k = k.cast("long")
     for shift, mask in steps:

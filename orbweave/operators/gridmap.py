@@ -103,6 +103,11 @@ def coverage(map_free: DataFrame, scanned: DataFrame) -> DataFrame:
     return out.withColumn("ratio", F.when(F.col("free") > 0, F.col("scanned") / F.col("free")))
 
 
+def verified(covered: DataFrame, least: float = 0.97) -> DataFrame:
+    """coverage() with verified: whether enough of the map was scanned."""
+    return covered.withColumn("verified", F.coalesce(F.col("ratio") >= least, F.lit(False)))
+
+
 def ray_infos(rays: DataFrame, low: list[float], high: list[float], density: float, max_range: float) -> DataFrame:
     """Rays (origin x, y[, z], end ex, ey[, ez]) with hit, n_free and the part [r1, r2] that lies in the map's box; others are left out."""
     axes = [a for a in ("x", "y", "z") if a in rays.columns]

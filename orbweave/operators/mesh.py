@@ -169,14 +169,25 @@ def marching_cubes(grid: DataFrame, origin: tuple[float, float, float] = (0.0, 0
     return cut.select("i", "j", "k", "triangle", "corner", F.struct(*[x.cast("int").alias("ijk"[n]) for n, x in enumerate(low)], axis_of.alias("axis")).alias("edge"), *at)
 
 
+def numbered(df: DataFrame, name: str, order: list[str]) -> DataFrame:
+    """df with a gapless number from 0 in the order given: ranges are sorted and counted apart, and only their counts are summed in one task."""
+    from orbweave.sources.shared import settle
+
+    ranged = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_id", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    joined = ranged.withColumn("_part", part).join(F.broadcast(before), "_part")  # a row for each task
+    return joined.select(*df.columns, (F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("int").alias(name))
+
+
 def mesh_of(corners: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(vertices, faces) of marching_cubes(): a vertex for each crossed edge, numbered in order; faces of vertex numbers."""
     unique = corners.groupBy("edge").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.first("z").alias("z"))
-    vertices = unique.withColumn("vid", (F.row_number().over(Window.orderBy("edge")) - 1).cast("int"))
+    vertices = numbered(unique, "vid", ["edge"])
     named = corners.join(vertices.select("edge", "vid"), "edge")
     pick = [F.max(F.when(F.col("corner") == n, F.col("vid"))).alias(c) for n, c in enumerate("abc")]
-    faces = named.groupBy("i", "j", "k", "triangle").agg(*pick)
-    faces = faces.withColumn("fid", (F.row_number().over(Window.orderBy("i", "j", "k", "triangle")) - 1).cast("int"))
+    faces = numbered(named.groupBy("i", "j", "k", "triangle").agg(*pick), "fid", ["i", "j", "k", "triangle"])
     return vertices.select("vid", "x", "y", "z"), faces.select("fid", "a", "b", "c")
 
 
@@ -202,6 +213,15 @@ def face_measures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return face_corners(vertices, faces).select("fid", triangle_area(a, b, c).alias("area"), *[x.alias(f"n{k}") for x, k in zip(n, "xyz", strict=True)])
 
 
+def cumulative_areas(vertices: DataFrame, faces: DataFrame, block: int = 4096) -> DataFrame:
+    """fid, area, total: face areas and their sum up to each face, by blocks of face numbers whose sums alone are added up in one task."""
+    sized = face_measures(vertices, faces).select("fid", "area", F.floor(F.col("fid") / block).alias("_b"))
+    sums = sized.groupBy("_b").agg(F.sum("area").alias("_s"))
+    before = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    own = F.sum("area").over(Window.partitionBy("_b").orderBy("fid"))
+    return sized.withColumn("_own", own).join(before, "_b").select("fid", "area", (F.col("_before") + F.col("_own")).alias("total"))
+
+
 def mesh_distance(points: DataFrame, point_id: str, vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """point_id, sdf: distance to the nearest face, positive outside; exact, with the mesh broadcast after a check of its size.
 
@@ -222,6 +242,17 @@ def mesh_distance(points: DataFrame, point_id: str, vertices: DataFrame, faces:
     return both.select(point_id, F.when(F.abs("o") > 6.283185307179586, -F.col("d")).otherwise(F.col("d")).alias("sdf"))
 
 
+def mesh_volume(vertices: DataFrame, faces: DataFrame) -> float:
+    """The signed volume of a closed mesh: negative if its faces are turned inward."""
+    a, b, c = _abc()
+    return face_corners(vertices, faces).agg(F.sum(dot(a, cross3(b, c)) / 6)).first()[0] or 0.0
+
+
+def outward(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """The faces of a closed mesh, all turned over if they are turned inward."""
+    return faces if mesh_volume(vertices, faces) >= 0 else faces.select("fid", "a", F.col("c").alias("b"), F.col("b").alias("c"))
+
+
 def mesh_contains(points: DataFrame, point_id: str, vertices: DataFrame, faces: DataFrame) -> DataFrame:
     return mesh_distance(points, point_id, vertices, faces).filter("sdf <= 0").select(point_id)
 

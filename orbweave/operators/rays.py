@@ -180,6 +180,15 @@ def bresenham_until(lines: DataFrame, line_id: str, x0: str, y0: str, x1: str, y
     return pixels.withColumn("_stop", held).filter("_stop is null or step < _stop").drop("_stop")
 
 
+def polygon_pixels(lines: DataFrame) -> DataFrame:
+    """obj_id, line_id, step, px, py: the pixels of polygons' contours; a line's last pixel is the next line's first and is left out."""
+    at = lines.select("obj_id", "line_id", *[F.floor(c).cast("int").alias(c) for c in ("ax", "ay", "bx", "by")])
+    made = bresenham(at, "ax", "ay", "bx", "by")
+    point = (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
+    last = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    return made.filter((F.col("step") < last) | point).select("obj_id", "line_id", "step", "px", "py")
+
+
 def sphere_trace(rays: DataFrame, starts: list[str], directions: list[str], distance: Callable[[list[Column]], Column], max_range: float, steps: int = 64, tolerance: float = 1e-6) -> DataFrame:
     """All columns of rays with t and hit: how far each unit ray goes until the distance function is within the tolerance.
 

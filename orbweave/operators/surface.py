@@ -1,7 +1,8 @@
 """Polygons in the plane as lines: distances, directional distances and inside tests of points against them.
 
-A surface is a table of directed lines (obj_id, line_id, ax, ay, bx, by). Points meet lines as a hash join on a constant,
-with the lines broadcast if they number BROADCAST at most (checked); larger surfaces are met through grid cells.
+A surface is a table of directed lines (obj_id, line_id, ax, ay, bx, by). Lines that number BROADCAST at most (checked) are
+broadcast to the points; distances and inside tests meet larger surfaces through grid cells and bands. Rays meet
+all lines, and refuse larger surfaces.
 """
 
 from __future__ import annotations
@@ -10,9 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.geometry import norm, point_segment_distance, ray_segment, sub, winding_term
+from orbweave.operators.neighbors import nearest
+from orbweave.sources.shared import settle
 
 #: Lines that may be broadcast.
-BROADCAST = 100_000
+BROADCAST = 20_000
 
 
 def close_polygons(vertices: DataFrame, obj: str = "obj_id", order: str = "vid", x: str = "x", y: str = "y") -> DataFrame:
@@ -40,21 +43,71 @@ def translate(surface: DataFrame, dx: float, dy: float) -> DataFrame:
     return surface.select("obj_id", "line_id", (F.col("ax") + dx).alias("ax"), (F.col("ay") + dy).alias("ay"), (F.col("bx") + dx).alias("bx"), (F.col("by") + dy).alias("by"))
 
 
+def small(lines: DataFrame) -> bool:
+    return lines.limit(BROADCAST + 1).count() <= BROADCAST
+
+
 def meet_lines(points: DataFrame, lines: DataFrame) -> DataFrame:
     """Every point with every line; refuses surfaces too large for that."""
-    n = lines.limit(BROADCAST + 1).count()
-    if n > BROADCAST:
+    if not small(lines):
         raise ValueError(f"more than {BROADCAST} lines: cut the surface into tiles")
     return points.withColumn("_all", F.lit(1)).join(F.broadcast(lines.withColumn("_all", F.lit(1))), "_all").drop("_all")
 
 
+def bands(lines: DataFrame, most: int = 1 << 14) -> tuple[DataFrame, float]:
+    """(lines, height): each line in every band of y that it passes, and the bands' height: about a line's, `most` bands over all at most."""
+    h, low, high = lines.agg(F.avg(F.abs(F.col("by") - F.col("ay"))), F.least(F.min("ay"), F.min("by")), F.greatest(F.max("ay"), F.max("by"))).first()
+    height = max(h or 0.0, ((high or 0.0) - (low or 0.0)) / most, 1e-9)
+    band = lambda y: F.floor(y / F.lit(height))
+    return lines.withColumn("_band", F.explode(F.sequence(band(F.least("ay", "by")), band(F.greatest("ay", "by"))))), height
+
+
 def winding_numbers(points: DataFrame, point_id: str, lines: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
-    """point_id, obj_id, winding of every point around every polygon."""
-    met = meet_lines(points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y")), lines)
+    """point_id, obj_id, winding of every point around every polygon that passes its height.
+
+    A surface of few lines is broadcast; in a larger one only lines that pass a point's height count, found by an equi-join on bands of y.
+    """
+    asked = points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    if small(lines):
+        met = meet_lines(asked, lines)
+    else:
+        banded, height = bands(lines)
+        met = asked.withColumn("_band", F.floor(F.col("_y") / F.lit(height))).join(banded, "_band")
     term = winding_term(["_x", "_y"], ["ax", "ay"], ["bx", "by"])
     return met.groupBy(point_id, "obj_id").agg(F.sum(term).cast("long").alias("winding"))
 
 
+def nearest_lines(points: DataFrame, point_id: str, lines: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """point_id, d, obj_id, line_id of the nearest line; ties go to the smallest object and line.
+
+    A surface of few lines is broadcast. In a larger one each line is in the cells that its box covers, and a point looks in the
+    cells around its own; what is farther than a cell looks again with cells twice as wide, until they reach over everything.
+    """
+    asked = points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    best = F.min(F.struct(point_segment_distance(["_x", "_y"], ["ax", "ay"], ["bx", "by"]).alias("d"), "obj_id", "line_id")).alias("m")
+    if small(lines):
+        return meet_lines(asked, lines).groupBy(point_id).agg(best).select(point_id, "m.d", "m.obj_id", "m.line_id")
+    size = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    ends = lines.select(F.col("ax").alias("_x"), F.col("ay").alias("_y")).unionByName(lines.select(F.col("bx").alias("_x"), F.col("by").alias("_y"))).unionByName(asked.select("_x", "_y"))
+    box = ends.agg(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y")).first()
+    reach = max(box[0] or 0.0, box[1] or 0.0) * 1.5
+    width, out = max(lines.agg(F.avg(size)).first()[0] or 0.0, reach / (1 << 14), 1e-9), None
+    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while True:
+        cell = lambda v: F.floor(v / F.lit(width))  # noqa: B023, E731
+        placed = lines.select("*", F.explode(F.sequence(cell(F.least("ax", "bx")), cell(F.greatest("ax", "bx")))).alias("_i")).select("*", F.explode(F.sequence(cell(F.least("ay", "by")), cell(F.greatest("ay", "by")))).alias("_j"))
+        around = asked.select("*", F.explode(near).alias("_o")).select(point_id, "_x", "_y", (cell(F.col("_x")) + F.col("_o.i")).alias("_i"), (cell(F.col("_y")) + F.col("_o.j")).alias("_j"))
+        found = around.join(placed, ["_i", "_j"]).groupBy(point_id).agg(best).select(point_id, "m.d", "m.obj_id", "m.line_id")
+        if width >= reach:
+            return found if out is None else out.unionByName(found)
+        found = settle(found.filter(F.col("d") <= width), "nearest-lines")
+        out = found if out is None else out.unionByName(found)
+        asked = settle(asked.join(found.select(point_id), point_id, "left_anti"), "nearest-left")
+        if asked.isEmpty():
+            return out
+        width *= 2
+
+
 def points_in_polygons(points: DataFrame, point_id: str, lines: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return winding_numbers(points, point_id, lines, x, y).filter("winding <> 0").select(point_id, "obj_id")
 
@@ -65,11 +118,14 @@ def signed_distance(points: DataFrame, point_id: str, lines: DataFrame, outside:
     outside: obj_id, outside: polygons that are the space's outer walls have their inside positive (outside = false).
     Ties go to the smallest object and line.
     """
-    met = meet_lines(points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y")), lines)
-    near = F.min(F.struct(point_segment_distance(["_x", "_y"], ["ax", "ay"], ["bx", "by"]).alias("d"), F.col("obj_id").alias("o"), F.col("line_id").alias("l"))).alias("m")
-    term = winding_term(["_x", "_y"], ["ax", "ay"], ["bx", "by"])
-    by = met.groupBy(point_id, "obj_id").agg(near, F.sum(term).alias("w"))
-    best = by.groupBy(point_id).agg(F.min(F.struct("m", "w")).alias("b")).select(point_id, F.col("b.m.d").alias("d"), F.col("b.m.o").alias("obj_id"), F.col("b.m.l").alias("line_id"), (F.col("b.w") != 0).alias("inside"))
+    if small(lines):
+        met = meet_lines(points.select(point_id, F.col(x).alias("_x"), F.col(y).alias("_y")), lines)
+        near = F.min(F.struct(point_segment_distance(["_x", "_y"], ["ax", "ay"], ["bx", "by"]).alias("d"), F.col("obj_id").alias("o"), F.col("line_id").alias("l"))).alias("m")
+        by = met.groupBy(point_id, "obj_id").agg(near, F.sum(winding_term(["_x", "_y"], ["ax", "ay"], ["bx", "by"])).alias("w"))
+        best = by.groupBy(point_id).agg(F.min(F.struct("m", "w")).alias("b")).select(point_id, F.col("b.m.d").alias("d"), F.col("b.m.o").alias("obj_id"), F.col("b.m.l").alias("line_id"), (F.col("b.w") != 0).alias("inside"))
+    else:
+        best = nearest_lines(points, point_id, lines, x, y).join(winding_numbers(points, point_id, lines, x, y), [point_id, "obj_id"], "left")
+        best = best.select(point_id, "d", "obj_id", "line_id", (F.coalesce("winding", F.lit(0)) != 0).alias("inside"))
     if outside is not None:
         best = best.join(F.broadcast(outside.select("obj_id", "outside")), "obj_id", "left")
         negative = F.col("inside") == F.coalesce("outside", F.lit(True))
@@ -78,6 +134,15 @@ def signed_distance(points: DataFrame, point_id: str, lines: DataFrame, outside:
     return best.select(point_id, F.when(negative, -F.col("d")).otherwise(F.col("d")).alias("sdf"), "obj_id", "line_id")
 
 
+def vertex_distance(points: DataFrame, point_id: str, lines: DataFrame, normals: DataFrame, width: float, x: str = "x", y: str = "y") -> DataFrame:
+    """point_id, sdf, obj_id, vid: distance to the nearest vertex (line_id names a line's first), negative behind its normal (obj_id, line_id, nx, ny)."""
+    vertices = lines.select(F.struct("obj_id", "line_id").alias("_v"), F.col("ax").alias("x"), F.col("ay").alias("y"))
+    asked = points.select(F.col(point_id).alias("_q"), F.col(x).alias("x"), F.col(y).alias("y"))
+    found = nearest(asked, vertices, "_q", "_v", ["x", "y"], width)
+    named = found.select(F.col("query").alias("_q"), "point.obj_id", "point.line_id", "distance").join(asked, "_q").join(lines.select("obj_id", "line_id", "ax", "ay"), ["obj_id", "line_id"]).join(normals, ["obj_id", "line_id"])
+    return named.select(F.col("_q").alias(point_id), (F.col("distance") * sign_by_normal(["x", "y"], ["ax", "ay"], ["nx", "ny"])).alias("sdf"), "obj_id", F.col("line_id").alias("vid"))
+
+
 def sign_by_normal(p: list, foot: list, normal: list) -> Column:
     """-1 behind a point with a normal, else 1."""
     from orbweave.functions.geometry import dot

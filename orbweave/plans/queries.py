@@ -101,11 +101,11 @@ def morton_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_P}, k AS (SELECT DISTINCT {_key('x')} AS kx, {_key('y')} AS ky FROM p), x AS (SELECT kx, ky, xor(kx, ky) AS v FROM k)
 SELECT kx, ky, CAST(CASE WHEN v = 0 THEN 16 ELSE 16 - length(bin(v)) END AS INTEGER) AS depth, CAST(((kx >> 3) & 1) + 2 * ((ky >> 3) & 1) AS INTEGER) AS child,
-       CASE WHEN kx + 4 < 65536 THEN kx + 4 END AS east, CASE WHEN ky - 1 >= 0 THEN ky - 1 END AS south, CAST(kx AS VARCHAR) || ',' || CAST(ky AS VARCHAR) AS name FROM x"""
+       CAST(CASE WHEN v = 0 THEN kx ELSE (kx >> length(bin(v)) << length(bin(v))) + (1 << (length(bin(v)) - 1)) END AS INTEGER) AS above, CASE WHEN kx + 4 < 65536 THEN kx + 4 END AS east, CASE WHEN ky - 1 >= 0 THEN ky - 1 END AS south, CAST(kx AS VARCHAR) || ',' || CAST(ky AS VARCHAR) AS name FROM x"""
 )
 def key_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = tree.end_keys(points(spark, sf_dir), ["x", "y"], S).select("kx", "ky").distinct()
-    return k.select("kx", "ky", K.common_ancestor_depth(["kx"], ["ky"], S).alias("depth"), K.child_index(["kx", "ky"], 3).alias("child"), K.neighbour("kx", 1, 14, S).alias("east"), K.neighbour("ky", -1, 16, S).alias("south"), K.key_text(["kx", "ky"]).alias("name"))
+    return k.select("kx", "ky", K.common_ancestor_depth(["kx"], ["ky"], S).alias("depth"), K.common_ancestor(["kx"], ["ky"], S)[0].alias("above"), K.child_index(["kx", "ky"], 3).alias("child"), K.neighbour("kx", 1, 14, S).alias("east"), K.neighbour("ky", -1, 16, S).alias("south"), K.key_text(["kx", "ky"]).alias("name"))
 
 
 # scalar geometry
@@ -129,7 +129,7 @@ def point_to_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_M}, t AS (SELECT pt_idx, x, y, (z * 5 - 1 * y) AS n, ((1 - x) * 5 - (2 - y) * 1) AS a, ((1 - x) * y - (2 - y) * z) AS b FROM m)
-SELECT pt_idx, round(a / n, 6) AS s, round(b / n, 6) AS t, coalesce(a / n BETWEEN 0 AND 1 AND b / n BETWEEN 0 AND 1, false) AS hit FROM (SELECT *, CASE WHEN n <> 0 THEN n END AS nn FROM t) WHERE n <> 0
+SELECT pt_idx, a / n AS s, b / n AS t, coalesce(a / n BETWEEN 0 AND 1 AND b / n BETWEEN 0 AND 1, false) AS hit FROM (SELECT *, CASE WHEN n <> 0 THEN n END AS nn FROM t) WHERE n <> 0
 UNION ALL SELECT pt_idx, NULL, NULL, false FROM t WHERE n = 0"""
 )
 def segments_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ def segments_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = [F.col("x") + F.col("z"), F.col("y") + F.col("y")]
     s, t = G.line_line(["x", "y"], end, [1.0, 2.0], [2.0, 7.0])
     hit, _, _ = G.intersect2("segment", ["x", "y"], end, "segment", [1.0, 2.0], [2.0, 7.0])
-    return marks(spark, sf_dir).select("pt_idx", r6(s, "s"), r6(t, "t"), hit.alias("hit"))
+    return marks(spark, sf_dir).select("pt_idx", s.alias("s"), t.alias("t"), hit.alias("hit"))
 
 
 @query(
@@ -228,7 +228,12 @@ def triangle_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks(spark, sf_dir).select("pt_idx", r6(G.triangle_area([0.0, 0.0, 0.0], ["x", "y", "z"], [4.0, 1.0, 3.0]), "area"))
 
 
-@query(None)
+@query(
+    f"""WITH {_M}, b AS (SELECT *, (10 * (4 * x + z) + (3 * y - z)) / 169 AS v, (17 * (3 * y - z) + (4 * x + z)) / 169 AS u FROM m), w AS (SELECT *, 1 - v - u AS w FROM b),
+s AS (SELECT *, least(greatest((4 * x + z) / 17, 0), 1) AS ab, least(greatest((-4 * (x - 4) + 3 * y - 2 * (z - 1)) / 29, 0), 1) AS bc, least(greatest((-3 * (y - 3) + (z + 1)) / 10, 0), 1) AS ca FROM w)
+SELECT pt_idx, round(CASE WHEN w >= 0 AND v >= 0 AND u >= 0 THEN abs(-3 * x + 4 * y + 12 * z) / 13 ELSE sqrt(least(pow(x - 4 * ab, 2) + y * y + pow(z - ab, 2), pow(x - 4 + 4 * bc, 2) + pow(y - 3 * bc, 2) + pow(z - 1 + 2 * bc, 2), x * x + pow(y - 3 + 3 * ca, 2) + pow(z + 1 - ca, 2))) END, 6) AS d,
+  round(w, 6) AS w0, round(v, 6) AS w1, round(u, 6) AS w2 FROM s"""
+)
 def triangle_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = G.barycentric(["x", "y", "z"], [0.0, 0.0, 0.0], [4.0, 0.0, 1.0], [0.0, 3.0, -1.0])
     return marks(spark, sf_dir).select("pt_idx", r6(G.point_triangle_distance(["x", "y", "z"], [0.0, 0.0, 0.0], [4.0, 0.0, 1.0], [0.0, 3.0, -1.0]), "d"), *[r6(x, f"w{i}") for i, x in enumerate(w)])
@@ -346,44 +351,50 @@ def inner_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocky(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaves with a few values, so that siblings are often equal."""
-    return tree.end_keys(points(spark, sf_dir), ["x", "y"], T).select("kx", "ky").distinct().select(F.lit(8).alias("d"), "kx", "ky", F.lit(0.85).alias("log_odds"))
+    """Leaves with a few values by area, so that siblings are often, and not always, equal."""
+    value = 0.25 + F.expr("(kx div 8 + ky div 16) % 3") * 0.5
+    return tree.end_keys(points(spark, sf_dir), ["x", "y"], T).select("kx", "ky").distinct().select(F.lit(8).alias("d"), "kx", "ky", value.alias("log_odds"))
 
 
-_BLOCKY = f"{_P}, b8 AS (SELECT DISTINCT {_K8} FROM p)"
+_BLOCKY = f"{_P}, b8 AS (SELECT kx, ky, 0.25::DOUBLE + ((kx // 8 + ky // 16) % 3) * 0.5::DOUBLE AS v FROM (SELECT DISTINCT {_K8} FROM p))"
 _PRUNED = f"""{_BLOCKY}, """ + ", ".join(
-    f"m{d} AS (SELECT kx >> 1 AS kx, ky >> 1 AS ky FROM b{d + 1} GROUP BY 1, 2 HAVING count(*) = 4), s{d + 1} AS (SELECT b.kx, b.ky FROM b{d + 1} b ANTI JOIN m{d} m ON b.kx >> 1 = m.kx AND b.ky >> 1 = m.ky), b{d} AS (SELECT * FROM m{d})" for d in range(7, 0, -1)
+    f"m{d} AS (SELECT kx >> 1 AS kx, ky >> 1 AS ky, min(v) AS v FROM b{d + 1} GROUP BY 1, 2 HAVING count(*) = 4 AND min(v) = max(v)), s{d + 1} AS (SELECT b.kx, b.ky, b.v FROM b{d + 1} b ANTI JOIN m{d} m ON b.kx >> 1 = m.kx AND b.ky >> 1 = m.ky), b{d} AS (SELECT * FROM m{d})" for d in range(7, 0, -1)
 )
-_LEAVES = " UNION ALL ".join(f"SELECT {d} AS d, kx, ky FROM s{d}" for d in range(8, 1, -1)) + " UNION ALL SELECT 1 AS d, kx, ky FROM b1"
+_LEAVES = " UNION ALL ".join(f"SELECT {d} AS d, kx, ky, v FROM s{d}" for d in range(8, 1, -1)) + " UNION ALL SELECT 1 AS d, kx, ky, v FROM b1"
+#: The key of a block at depth d.
+_AT = lambda k: f"CAST(CASE WHEN d = 8 THEN {k} ELSE ({k} << (8 - d)) + (1 << (7 - d)) END AS INTEGER)"
 
 
-@query(f"WITH {_PRUNED}, q AS ({_LEAVES}) SELECT CAST(d AS INTEGER) AS d, CAST(CASE WHEN d = 8 THEN kx ELSE (kx << (8 - d)) + (1 << (7 - d)) END AS INTEGER) AS kx, CAST(CASE WHEN d = 8 THEN ky ELSE (ky << (8 - d)) + (1 << (7 - d)) END AS INTEGER) AS ky FROM q")
+@query(f"WITH {_PRUNED}, q AS ({_LEAVES}) SELECT CAST(d AS INTEGER) AS d, {_AT('kx')} AS kx, {_AT('ky')} AS ky, v AS log_odds FROM q")
 def pruned_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.prune(_blocky(spark, sf_dir), T).select("d", "kx", "ky")
+    return tree.prune(_blocky(spark, sf_dir), T).select("d", "kx", "ky", "log_odds")
 
 
-_OCT = f"{_P}, b8 AS (SELECT DISTINCT {_K8}, {_key('z', 0.25, 128)} AS kz FROM p), m7 AS (SELECT kx >> 1 AS kx, ky >> 1 AS ky, kz >> 1 AS kz FROM b8 GROUP BY 1, 2, 3 HAVING count(*) = 8)"
+#: Cells of space: those of the plane, as high as their column is long.
+_COLUMNS = f"{_P}, b8 AS (SELECT kx, ky, CAST(128 + h AS INTEGER) AS kz, 0.25::DOUBLE + (kx // 16 % 2) * 0.5::DOUBLE AS v FROM (SELECT DISTINCT {_K8} FROM p), unnest(range(0, 4)) AS u(h))"
+_OCT = f"{_COLUMNS}, " + ", ".join(
+    f"m{d} AS (SELECT kx >> 1 AS kx, ky >> 1 AS ky, kz >> 1 AS kz, min(v) AS v FROM b{d + 1} GROUP BY 1, 2, 3 HAVING count(*) = 8 AND min(v) = max(v)), s{d + 1} AS (SELECT b.* FROM b{d + 1} b ANTI JOIN m{d} m ON b.kx >> 1 = m.kx AND b.ky >> 1 = m.ky AND b.kz >> 1 = m.kz), b{d} AS (SELECT * FROM m{d})" for d in range(7, 3, -1)
+)
 
 
-@query(f"WITH {_OCT} SELECT (SELECT count(*) FROM b8 b ANTI JOIN m7 m ON b.kx >> 1 = m.kx AND b.ky >> 1 = m.ky AND b.kz >> 1 = m.kz) AS small, (SELECT count(*) FROM m7) AS merged")
+@query(f"WITH {_OCT}, q AS (" + " UNION ALL ".join(f"SELECT {d} AS d, kx, ky, kz, v FROM s{d}" for d in range(8, 4, -1)) + f" UNION ALL SELECT 4 AS d, kx, ky, kz, v FROM b4) SELECT CAST(d AS INTEGER) AS d, {_AT('kx')} AS kx, {_AT('ky')} AS ky, {_AT('kz')} AS kz, v AS log_odds FROM q")
 def pruned_octree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = tree.end_keys(points(spark, sf_dir), ["x", "y", "z"], T).select("kx", "ky", "kz").distinct().select(F.lit(8).alias("d"), "kx", "ky", "kz", F.lit(0.85).alias("log_odds"))
-    leaves = tree.prune(cells, T, lowest=7)
-    return leaves.agg(F.sum((F.col("d") == 8).cast("long")).alias("small"), F.sum((F.col("d") == 7).cast("long")).alias("merged"))
+    cells = tree.end_keys(points(spark, sf_dir), ["x", "y"], T).select("kx", "ky").distinct().select("kx", "ky", F.explode(F.array(*map(F.lit, range(128, 132)))).alias("kz"))
+    return tree.prune(cells.select(F.lit(8).alias("d"), "kx", "ky", "kz", (0.25 + F.expr("kx div 16 % 2") * 0.5).alias("log_odds")), T, lowest=4)
 
 
-@query(f"WITH {_BLOCKY} SELECT kx, ky FROM b8")
+@query(f"WITH {_BLOCKY} SELECT kx, ky, v AS log_odds FROM b8")
 def expanded_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tree.expand(tree.prune(_blocky(spark, sf_dir), T), T).select("kx", "ky")
+    return tree.expand(tree.prune(_blocky(spark, sf_dir), T), T).select("kx", "ky", "log_odds")
 
 
 @query(
     f"""WITH {_PRUNED}, q AS ({_LEAVES}), {_M}, c AS (SELECT pt_idx, {_K8} FROM m)
-SELECT pt_idx, CAST(max(q.d) AS INTEGER) AS d FROM c LEFT JOIN q ON c.kx >> (8 - q.d) = q.kx AND c.ky >> (8 - q.d) = q.ky GROUP BY pt_idx"""
+SELECT pt_idx, CAST(max(q.d) AS INTEGER) AS d, arg_max(q.v, q.d) AS log_odds FROM c LEFT JOIN q ON c.kx >> (8 - q.d) = q.kx AND c.ky >> (8 - q.d) = q.ky GROUP BY pt_idx"""
 )
 def search_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = tree.end_keys(marks(spark, sf_dir), ["x", "y"], T).select("pt_idx", "kx", "ky")
-    return tree.search(cells, tree.prune(_blocky(spark, sf_dir), T), T).select("pt_idx", "d")
+    return tree.search(cells, tree.prune(_blocky(spark, sf_dir), T), T).select("pt_idx", "d", "log_odds")
 
 
 @query(f"WITH {_PRUNED}, q AS ({_LEAVES}) SELECT CAST(min(d) AS INTEGER) AS least, count(*) AS leaves, sum(CAST(1 AS BIGINT) << (2 * (8 - d)))::BIGINT AS cells FROM q")
@@ -445,10 +456,16 @@ def cast_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rays.cast_rays(r, "ray", _tree(spark, sf_dir), T, ["sx", "sy"], ["vx", "vy"], 6.0).select("ray", "step", "kx", "ky", r6("distance"))
 
 
-@query(None)
+@query(
+    f"""WITH {_PRUNED}, q AS ({_LEAVES}), g AS (SELECT d, {_AT('kx')} AS kx, {_AT('ky')} AS ky, v AS log_odds, ((kx << (8 - d)) - 128) * 0.25::DOUBLE AS lx, ((ky << (8 - d)) - 128) * 0.25::DOUBLE AS ly, (1 << (8 - d)) * 0.25::DOUBLE AS w FROM q),
+r AS (SELECT s_suppkey AS ray, cos(s_suppkey * 0.37::DOUBLE) AS vx, sin(s_suppkey * 0.37::DOUBLE) AS vy FROM supplier),
+t AS (SELECT *, (lx - 0.03::DOUBLE) / vx AS ax, (lx + w - 0.03::DOUBLE) / vx AS bx, CASE WHEN vy = 0 THEN '-inf'::DOUBLE ELSE (ly - 0.02::DOUBLE) / vy END AS ay, CASE WHEN vy = 0 THEN 'inf'::DOUBLE ELSE (ly + w - 0.02::DOUBLE) / vy END AS b_y FROM r, g WHERE vy <> 0 OR 0.02 BETWEEN ly AND ly + w),
+h AS (SELECT *, greatest(least(ax, bx), least(ay, b_y)) AS near, least(greatest(ax, bx), greatest(ay, b_y)) AS far FROM t)
+SELECT ray, CAST(d AS INTEGER) AS d, kx, ky, log_odds, round(near, 6) AS near, round(far, 6) AS far, CAST(row_number() OVER (PARTITION BY ray ORDER BY abs(near), d, kx, ky) AS INTEGER) AS rank FROM h WHERE near <= far AND far >= 0 AND abs(near) <= 6"""
+)
 def nodes_on_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ray"), F.lit(0.03).alias("sx"), F.lit(0.02).alias("sy"), F.cos(F.col("s_suppkey") * 0.37).alias("vx"), F.sin(F.col("s_suppkey") * 0.37).alias("vy"))
-    return rays.nodes_on_rays(r, "ray", tree.prune(_blocky(spark, sf_dir), T), T, ["sx", "sy"], ["vx", "vy"], 6.0, coarse=4)
+    return rays.nodes_on_rays(r, "ray", tree.prune(_blocky(spark, sf_dir), T), T, ["sx", "sy"], ["vx", "vy"], 6.0, coarse=4).withColumns({"near": F.round("near", 6), "far": F.round("far", 6)})
 
 
 @query(
@@ -462,19 +479,12 @@ def pixel_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rays.bresenham(p, "x0", "y0", "x1", "y1").select("id", "step", "px", "py")
 
 
-@query(f"WITH {_M} SELECT pt_idx, round(-sqrt(1 - y * y) - x, 3) AS t, true AS hit FROM m WHERE x < -1 AND abs(y) <= 0.9")
-def sphere_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = marks(spark, sf_dir).filter("x < -1 and abs(y) <= 0.9").withColumns({"vx": F.lit(1.0), "vy": F.lit(0.0)})
-    t = rays.sphere_trace(p, ["x", "y"], ["vx", "vy"], lambda q: F.sqrt(q[0] * q[0] + q[1] * q[1]) - 1.0, 30.0)
-    return t.select("pt_idx", F.round("t", 3).alias("t"), "hit")
-
-
 @query(
     f"""WITH RECURSIVE {_M}, s AS (SELECT pt_idx, x, y, CASE WHEN sqrt(x * x + y * y) < 1 THEN -1 ELSE 1 END AS side, 0 AS i, 0::DOUBLE AS t FROM m
       UNION ALL SELECT pt_idx, x, y, side, i + 1, CASE WHEN t > 30 THEN t ELSE t + side * (sqrt((x + t) * (x + t) + y * y) - 1) END FROM s WHERE i < 64)
 SELECT pt_idx, round(t, 3) AS t, t <= 30 AND abs(sqrt((x + t) * (x + t) + y * y) - 1) <= 1e-5 AS hit FROM s WHERE i = 64"""
 )
-def sphere_traced_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sphere_traced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events: hits, misses, rays that look away, graze or start inside."""
     p = marks(spark, sf_dir).withColumns({"vx": F.lit(1.0), "vy": F.lit(0.0)})
     t = rays.sphere_trace(p, ["x", "y"], ["vx", "vy"], lambda q: F.sqrt(q[0] * q[0] + q[1] * q[1]) - 1.0, 30.0)
@@ -506,12 +516,12 @@ def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT query, vec_id AS point, round(list_distance(a, embedding::DOUBLE[]), 6) AS distance FROM q, embeddings),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, point) AS rank FROM d) SELECT query, distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8"""
+    """WITH q AS (SELECT vec_id AS query, embedding::DOUBLE[] AS a FROM embeddings WHERE vec_id % 20 = 0), d AS (SELECT query, vec_id AS point, list_distance(a, embedding::DOUBLE[]) AS distance FROM q, embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 9), point) AS rank FROM d) SELECT query, point, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8"""
 )
 def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return neighbors.vector_knn(e.filter("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", 8).select("query", r6("distance"), "rank")
+    return neighbors.vector_knn(e.filter("vec_id % 20 = 0"), e, "vec_id", "vec_id", "embedding", 8).select("query", "point", r6("distance"), "rank")
 
 
 # surfaces
@@ -553,19 +563,33 @@ def signed_distances_along_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("pt_idx", r6(F.when(F.col("distance") == float("inf"), 1e9).otherwise(F.col("distance")), "first"))
 
 
-@query(None)
+@query(
+    f"""WITH {_M}, {_L}, {_HIT}, d AS (SELECT pt_idx, obj_id, line_id, sqrt(pow(x - ax - {_SEGT} * (bx - ax), 2) + pow(y - ay - {_SEGT} * (b_y - ay), 2)) AS d, {_WIND} AS w FROM m, l),
+b AS (SELECT pt_idx, obj_id, min(d) AS d, sum(w) AS w FROM d GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY pt_idx ORDER BY d, obj_id) AS n FROM b), i AS (SELECT pt_idx, w <> 0 AND d > 0 AS inside FROM r WHERE n = 1),
+e AS (SELECT pt_idx, min(CASE WHEN t >= 0 THEN t END) AS ahead, max(CASE WHEN t <= 0 THEN t END) AS behind FROM g GROUP BY pt_idx)
+SELECT e.pt_idx, round(CASE WHEN inside THEN coalesce(behind, -1e9) ELSE coalesce(ahead, 1e9) END, 6) AS distance FROM e JOIN i ON e.pt_idx = i.pt_idx"""
+)
 def inside_distances_along_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = marks(spark, sf_dir).withColumns({"vx": F.lit(0.6), "vy": F.lit(0.8)})
-    return surface.signed_directional_distance_inside(r, "pt_idx", lines(spark, sf_dir))
+    d = surface.signed_directional_distance_inside(r, "pt_idx", lines(spark, sf_dir))
+    return d.select("pt_idx", r6(F.greatest(F.lit(-1e9), F.least(F.lit(1e9), F.col("distance"))), "distance"))
 
 
-@query(None)
+@query(
+    f"""WITH {_L}, a AS (SELECT s_suppkey AS frame_id, i AS ray_idx, CAST(s_suppkey * 7 % 601 - 300 AS DOUBLE) * 0.03125::DOUBLE AS x, CAST(s_suppkey * 13 % 401 - 200 AS DOUBLE) * 0.03125::DOUBLE AS y, s_suppkey * 0.1::DOUBLE AS theta, -pi() + 2 * pi() * i / 36 AS angle FROM supplier, unnest(range(0, 36)) AS u(i)),
+r AS (SELECT *, cos(theta + angle) AS vx, sin(theta + angle) AS vy FROM a), h AS (SELECT frame_id, ray_idx, angle, vx * (ay - b_y) - vy * (ax - bx) AS n, -((x - bx) * vy - (y - b_y) * vx) AS w, (ax - bx) * (y - b_y) - (ay - b_y) * (x - bx) AS t FROM r, l)
+SELECT frame_id, CAST(ray_idx AS INTEGER) AS ray_idx, round(angle, 6) AS angle, round(coalesce(min(CASE WHEN n <> 0 AND w / n BETWEEN 0 AND 1 AND t / n >= 0 THEN t / n END), 1e9), 6) AS range FROM h GROUP BY frame_id, ray_idx, angle"""
+)
 def lidar_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     poses = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame_id"), F.expr("CAST(s_suppkey * 7 % 601 - 300 AS DOUBLE) * 0.03125D").alias("x"), F.expr("CAST(s_suppkey * 13 % 401 - 200 AS DOUBLE) * 0.03125D").alias("y"), (F.col("s_suppkey") * 0.1).alias("theta"))
-    return sensors.lidar_scan(poses, lines(spark, sf_dir), sensors.scan_angles(-3.141592653589793, 3.141592653589793, 36))
+    return sensors.lidar_scan(poses, lines(spark, sf_dir), sensors.scan_angles(-3.141592653589793, 3.141592653589793, 36)).select("frame_id", "ray_idx", r6("angle"), r6(F.least(F.lit(1e9), F.col("range")), "range"))
 
 
-@query(None)
+@query(
+    f"""WITH {_L}, m AS (SELECT r.row, c.col, -7.1::DOUBLE + c.col * 0.18::DOUBLE AS x, -5.1::DOUBLE + r.row * 0.18::DOUBLE AS y FROM (SELECT unnest(range(0, 60)) AS row) r, (SELECT unnest(range(0, 80)) AS col) c),
+w AS (SELECT row, col, obj_id FROM m, l GROUP BY 1, 2, 3 HAVING sum({_WIND}) <> 0), h AS (SELECT row, col, max(obj_id) AS obj_id FROM w GROUP BY 1, 2)
+SELECT CAST(m.row AS INTEGER) AS row, CAST(m.col AS INTEGER) AS col, CASE WHEN obj_id % 3 <> 0 THEN 255 ELSE 0 END AS value FROM m LEFT JOIN h ON m.row = h.row AND m.col = h.col"""
+)
 def raster_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     holes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("obj_id"), (F.col("n_nationkey") % 3 == 0).alias("outside"))
     return surface.rasterise(lines(spark, sf_dir), holes, 60, 80, -7.1, -5.1, 0.18)
@@ -600,9 +624,14 @@ def ray_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensors.partition_rays(r, 5.0, 60.0, 3).select("frame_id", "first", "last", "size")
 
 
-@query(None)
+@query(
+    f"""WITH RECURSIVE {_RNG}, s AS (SELECT frame_id, ray_idx, value, abs((lead(value) OVER o - value) / ((ray_idx + 1) * 0.01::DOUBLE - ray_idx * 0.01::DOUBLE)) AS slope FROM r WINDOW o AS (PARTITION BY frame_id ORDER BY ray_idx)),
+a AS (SELECT frame_id, ray_idx, slope AS was, slope, 0.9::DOUBLE * slope + (1 - 0.9::DOUBLE) * slope AS mean FROM s WHERE ray_idx = 0
+      UNION ALL SELECT s.frame_id, s.ray_idx, a.mean, s.slope, 0.9::DOUBLE * a.mean + (1 - 0.9::DOUBLE) * s.slope FROM a JOIN s ON s.frame_id = a.frame_id AND s.ray_idx = a.ray_idx + 1)
+SELECT a.frame_id, a.ray_idx, value AS range, coalesce(a.slope > 10 * was, true) AS broken FROM a JOIN s ON s.frame_id = a.frame_id AND s.ray_idx = a.ray_idx"""
+)
 def ray_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensors.mark_breaks(_ranges(spark, sf_dir), 5.0, 60.0)
+    return sensors.mark_breaks(_ranges(spark, sf_dir), 5.0, 60.0).select("frame_id", "ray_idx", "range", "broken")
 
 
 @query(
@@ -623,10 +652,10 @@ def cloud_to_depth_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensors.depth_image(marks(spark, sf_dir), "frame", "pt_idx", 20.0, 20.0, 32.0, 24.0, 64, 48)
 
 
-@query(f"WITH {_M}, s AS (SELECT pt_idx, x, y, sqrt(x * x + y * y) AS range, unnest(range(0, 5)) AS sample FROM m) SELECT pt_idx, CAST(sample AS INTEGER) AS sample, round(x + 0.6 * sample * ((range + 0.5) / 4), 6) AS sx, round(range - sample * ((range + 0.5) / 4), 6) AS lft FROM s")
+@query(f"WITH {_M}, s AS (SELECT pt_idx, x, y, sqrt(x * x + y * y) AS range, unnest(range(0, 5)) AS sample FROM m) SELECT pt_idx, CAST(sample AS INTEGER) AS sample, x + 0.6::DOUBLE * (sample * ((range + 0.5::DOUBLE) / 4)) AS sx, range - sample * ((range + 0.5::DOUBLE) / 4) AS lft FROM s")
 def samples_along_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = marks(spark, sf_dir).select("pt_idx", "x", "y", F.lit(0.6).alias("vx"), F.lit(0.8).alias("vy"), F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")).alias("range"))
-    return sensors.sample_along(r, n=5, behind=0.5).select("pt_idx", "sample", r6("sx"), r6("left", "lft"))
+    return sensors.sample_along(r, n=5, behind=0.5).select("pt_idx", "sample", "sx", F.col("left").alias("lft"))
 
 
 # grid maps
@@ -661,10 +690,10 @@ def hysteresis_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridmap.update_map(u, T, -0.8, 0.5).select("row", "col", r6("log_odds"), "state")
 
 
-@query(f"WITH {_M}, {_GRID}, s AS (SELECT DISTINCT row, col FROM g WHERE (row + col) % 3 = 0) SELECT count(*) AS free, sum(CASE WHEN s.row IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS scanned, round(sum(CASE WHEN s.row IS NOT NULL THEN 1 ELSE 0 END) / count(*)::DOUBLE, 6) AS ratio FROM g LEFT JOIN s ON g.row = s.row AND g.col = s.col")
+@query(f"WITH {_M}, {_GRID}, s AS (SELECT DISTINCT row, col FROM g WHERE (row + col) % 3 = 0) SELECT count(*) AS free, sum(CASE WHEN s.row IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS scanned, round(sum(CASE WHEN s.row IS NOT NULL THEN 1 ELSE 0 END) / count(*)::DOUBLE, 6) AS ratio, sum(CASE WHEN s.row IS NOT NULL THEN 1 ELSE 0 END) / count(*)::DOUBLE >= 0.97 AS verified FROM g LEFT JOIN s ON g.row = s.row AND g.col = s.col")
 def scan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _grid(spark, sf_dir)
-    return gridmap.coverage(g, g.filter("(row + col) % 3 = 0")).select("free", F.col("scanned").cast("long").alias("scanned"), r6("ratio"))
+    return gridmap.verified(gridmap.coverage(g, g.filter("(row + col) % 3 = 0"))).select("free", F.col("scanned").cast("long").alias("scanned"), r6("ratio"), "verified")
 
 
 @query(

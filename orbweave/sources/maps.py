@@ -8,12 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orbweave.functions.geometry import norm, quaternion_matrix
-from orbweave.functions.keys import TreeSetting, morton, tile
-from orbweave.operators.tree import axes_of
+from orbweave.functions.keys import TreeSetting, morton, tile, unmorton
+from orbweave.operators.tree import axes_of, nodes
 
 ROOM = "id string, bbox struct<min: array<double>, max: array<double>>, verts array<array<double>>"
 SCENE = "bucket int, map string, map_width int, map_height int, start_x int, start_y int, goal_x int, goal_y int, optimal_length double"
@@ -51,10 +51,12 @@ PASSABLE = (".", "G")
 
 
 def read_street_map(spark: SparkSession, path: str) -> DataFrame:
-    """file, row, col, passable of street maps: four lines of header, then a line of characters a row."""
+    """file, row, col, passable of street maps: four lines of header with height and width, then a line of characters a row. What lies beyond them isn't read."""
     lines = spark.read.text(path, wholetext=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-    rows = lines.select("file", F.posexplode(F.split("value", "\r?\n")).alias("row", "line")).filter("row >= 4 and line <> ''")
-    return rows.select("file", (F.col("row") - 4).alias("row"), F.posexplode(F.split("line", "")).alias("col", "c")).filter("c <> ''").select("file", "row", "col", F.col("c").isin(*PASSABLE).alias("passable"))
+    size = lambda name: F.regexp_extract("value", rf"(?m)^{name}\s+(\d+)", 1).cast("int")
+    rows = lines.select("file", size("height").alias("height"), size("width").alias("width"), F.posexplode(F.split("value", "\r?\n")).alias("row", "line")).filter("row >= 4 and row < height + 4")
+    cells = rows.select("file", "width", (F.col("row") - 4).alias("row"), F.posexplode(F.split("line", "")).alias("col", "c")).filter("c <> '' and col < width")
+    return cells.select("file", "row", "col", F.col("c").isin(*PASSABLE).alias("passable"))
 
 
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
@@ -66,16 +68,24 @@ def read_scenes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    return df.withColumn("frame_id", F.monotonically_increasing_id())
+    """df, read from files, with file and frame_id: the row's number in its file, from 0, over any number of splits.
+
+    A split's rows are consecutive in one task, so their number within it is a difference of ids; only the splits' counts are added up.
+    """
+    at = df.withColumns({"file": F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "_split": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()})
+    splits = at.groupBy("file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "_split", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    return at.join(splits, ["file", "_split"]).withColumn("frame_id", F.col("_before") + F.col("_id") - F.col("_first")).drop("_split", "_id", "_first", "_before")
 
 
 def read_trajectory(spark: SparkSession, path: str, kind: str, sep: str = ",") -> DataFrame:
-    """frame_id and pose. kind: 2d (x, y), 3d (x, y, z), se2 (x, y, theta), se3 (x, y, z, qx, qy, qz, qw), matrix (16 numbers, row by row).
+    """file, frame_id and pose. kind: 2d (x, y), 3d (x, y, z), se2 (x, y, theta), se3 (x, y, z, qx, qy, qz, qw), matrix (16 numbers, row by row).
 
     Numbers of frames follow the lines of a file.
     """
     columns = {"2d": ["tx", "ty"], "3d": ["tx", "ty", "tz"], "se2": ["tx", "ty", "theta"], "se3": ["tx", "ty", "tz", "qx", "qy", "qz", "qw"], "matrix": [f"m{i}" for i in range(16)]}[kind]
-    return _numbered(spark.read.option("sep", sep).option("comment", "#").schema(", ".join(f"{c} double" for c in columns)).csv(path)).select("frame_id", *columns)
+    return _numbered(spark.read.option("sep", sep).option("comment", "#").schema(", ".join(f"{c} double" for c in columns)).csv(path)).select("file", "frame_id", *columns)
 
 
 def pose_matrix(poses: DataFrame, kind: str) -> DataFrame:
@@ -261,6 +271,33 @@ def filter_results(results: DataFrame, unwanted: list[str], labels: str = "label
     return results.filter(~F.arrays_overlap(labels, F.array(*map(F.lit, unwanted))))
 
 
+def write_states(leaves: DataFrame, s: TreeSetting, path: str) -> None:
+    """The lossy form of a tree: a row (d, morton, states) for each inner node, two bits a child.
+
+    0: unknown, 1: free, 2: occupied, 3: an inner node. The first child, the least on every axis, has the lowest bits.
+    """
+    names = axes_of(leaves)
+    n = len(names)
+    every = nodes(leaves, s).filter("d > 0")
+    code = F.call_function("shiftright", morton(names), (F.lit(s.depth) - F.col("d")) * n)
+    state = F.when(~F.col("is_leaf"), 3).when(F.col("log_odds") >= s.threshold, 2).otherwise(1).cast("long")
+    child = F.col("_code").bitwiseAND(F.lit(2**n - 1))
+    rows = every.select((F.col("d") - 1).cast("int").alias("d"), code.alias("_code"), state.alias("_s")).select("d", F.shiftright("_code", n).alias("morton"), F.call_function("shiftleft", F.col("_s"), (child * 2).cast("int")).alias("_s"))
+    rows.groupBy("d", "morton").agg(F.sum("_s").cast("int").alias("states")).write.mode("overwrite").parquet(f"{path}/states")
+    s.to_frame(leaves.sparkSession).coalesce(1).write.mode("overwrite").parquet(f"{path}/setting")
+
+
+def read_states(spark: SparkSession, path: str, axes: int = 2) -> tuple[DataFrame, TreeSetting]:
+    """Leaves of write_states(), at the greatest or least log-odds."""
+    s = TreeSetting.from_frame(spark.read.parquet(f"{path}/setting"))
+    names = ["kx", "ky", "kz"][:axes]
+    told = spark.read.parquet(f"{path}/states").select("d", "morton", "states", F.explode(F.sequence(F.lit(0), F.lit(2**axes - 1))).alias("_c"))
+    told = told.select((F.col("d") + 1).alias("d"), (F.shiftleft("morton", axes) + F.col("_c")).alias("_m"), F.call_function("shiftright", F.col("states"), F.col("_c") * 2).bitwiseAND(F.lit(3)).alias("_s")).filter("_s in (1, 2)")
+    width = F.pow(F.lit(2.0), F.lit(s.depth) - F.col("d")).cast("int")
+    keys = [(k * width + F.floor(width / 2)).cast("int").alias(name) for k, name in zip(unmorton("_m", axes), names, strict=True)]
+    return told.select("d", *keys, F.when(F.col("_s") == 2, F.lit(float(s.log_odds_max))).otherwise(F.lit(float(s.log_odds_min))).alias("log_odds")), s
+
+
 def write_tree(leaves: DataFrame, s: TreeSetting, path: str, tile_depth: int = 4) -> None:
     """Leaves by tile, sorted by Morton code within, so that boxes of cells prune files and row groups; the setting beside them."""
     names = axes_of(leaves)

@@ -44,6 +44,7 @@ class Snapshots:
     """A tree kept as versions of a table: each micro-batch folds its updates into the last version and writes the next.
 
     A version is written once: a batch that is run again after a failure finds its version or writes it anew from the one before.
+    Each cell has the last frame that it was told of; updates of that frame or older ones are late and don't count.
     """
 
     def __init__(self, spark: SparkSession, path: str, s: TreeSetting):
@@ -54,9 +55,17 @@ class Snapshots:
 
     def merge(self, updates: DataFrame, version: int, frame: str = "frame") -> None:
         names = axes_of(updates)
+        updates = updates.select(F.col(frame).cast("long").alias("frame"), *names, "delta")
         start = self.read(version - 1) if version else None
-        folded = fold(updates, names, [frame], self.s, start=start)
-        folded.select(F.lit(self.s.depth).alias("d"), *names, "log_odds").write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        if start is not None:
+            last = start.select(*names, F.col("frame").alias("_last"))
+            updates = updates.join(last, names, "left").filter("_last is null or frame > _last").drop("_last")
+        folded = fold(updates, names, ["frame"], self.s, start=start)
+        told = updates.groupBy(*names).agg(F.max("frame").alias("_told"))
+        known = start.select(*names, F.col("frame").alias("_known")) if start is not None else told.select(*names, F.col("_told").alias("_known"))
+        out = folded.join(told, names, "left").join(known, names, "left")
+        out = out.select(F.lit(self.s.depth).alias("d"), *names, "log_odds", F.coalesce("_told", "_known").alias("frame"))
+        out.write.mode("overwrite").parquet(f"{self.path}/v{version}")
 
     def follow(self, updates: DataFrame, checkpoint: str, frame: str = "frame") -> StreamingQuery:
         return updates.writeStream.foreachBatch(lambda df, version: self.merge(df, version, frame)).option("checkpointLocation", checkpoint).start()

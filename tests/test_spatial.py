@@ -279,7 +279,7 @@ def test_radius_and_nearest(spark):
     d = np.hypot(*(p[:, None] - p[None]).T)
     got = {(x.query, x.point) for x in neighbors.radius_join(df, df, "id", "id", ["x", "y"], 0.8).collect()}
     assert got == {(i, j) for i in range(80) for j in range(80) if d[i, j] <= 0.8}
-    near = {(x.query, x.rank): x.distance for x in neighbors.knn_join(df, df, "id", "id", ["x", "y"], 3, 0.3, rounds=2).collect()}
+    near = {(x.query, x.rank): x.distance for x in neighbors.knn_join(df, df, "id", "id", ["x", "y"], 3, 0.3).collect()}
     assert all(near[i, k + 1] == pytest.approx(np.sort(d[i])[k]) for i in range(80) for k in range(3))
 
 
