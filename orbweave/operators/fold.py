@@ -39,9 +39,16 @@ def apply_summary(x: Column, m: Column) -> Column:
 def fold(updates: DataFrame, keys: list[str], order: list[str], s: TreeSetting, delta: str = "delta", start: DataFrame | None = None) -> DataFrame:
     """keys, log_odds after all updates of each cell in order; start: log-odds of known cells, the others start at 0.
 
-    Cells with few updates, nearly all, fold at once. A cell may have any number of updates: those are summarised by
+    With one order column a cell gathers its updates, a number each, and folds them at once. With more, a cell may have any number of updates: those are summarised by
     runs of a frame (the first order column) first, so what is gathered for a cell is a number a frame.
     """
+    if len(order) == 1:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(order[0], delta))), lambda r: r[delta])
+        every = updates.groupBy(*keys).agg(ordered.alias("runs"))
+        if start is None:
+            return every.select(*keys, fold_column(F.col("runs"), s).alias("log_odds"))
+        every = every.join(start.select(*keys, F.col("log_odds").alias("_start")), keys, "full")
+        return every.select(*keys, fold_column(F.coalesce("runs", F.array().cast(every.schema["runs"].dataType)), s, F.coalesce("_start", F.lit(0.0))).alias("log_odds"))
     by_frame = updates.groupBy(*keys, order[0]).agg(F.array_sort(F.collect_list(F.struct(*order[1:], delta))).alias("run"))
     part = by_frame.select(*keys, order[0], summary_column(F.transform("run", lambda r: r[delta]), s).alias("m"))
     every = part.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order[0], "m"))).alias("runs"))

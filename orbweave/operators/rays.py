@@ -1,65 +1,113 @@
 """Rays through grids: traversal, casting, lines of pixels and sphere tracing.
 
-The traversal is a closed form: a ray crosses |end - start| borders on each axis, at times that are a column
-expression; ordered by time, running counts of the crossings are the cells. No loop, no Python; each ray's cells
-are made where the ray is, and nothing is shuffled. Ties go to y before x in the plane and x, y, z in space.
+A ray crosses |end - start| borders on each axis, at times that are arithmetic; ordered by time, running counts of the
+crossings are the cells. A kernel on Arrow batches sorts the crossings of many rays at once: no loop over cells or
+rays, and each ray's cells are made where the ray is, without a shuffle. Ties go to y before x in the plane and x, y, z in space.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from orbweave.functions.keys import TreeSetting, checked_key, prefix
-
-
-def _crossings(start: Column, end: Column, k0: Column, k1: Column, rank: int, s: TreeSetting) -> Column:
-    """Array of (t, rank of the axis, number on the axis): the borders crossed, t in [0, 1] along the ray."""
-    n = F.abs(k1 - k0)
-    first = k0 - s.offset + F.when(k1 >= k0, 1).otherwise(0)
-    step = F.when(k1 >= k0, 1).otherwise(-1)
-    length = F.when(end != start, end - start)
-    crossed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((((first + step * i) * F.lit(float(s.resolution)) - start) / length).alias("t"), F.lit(rank).alias("rank"), i.cast("int").alias("i")))
-    return F.when(n > 0, crossed).otherwise(F.array().cast("array<struct<t:double,rank:int,i:int>>"))
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from orbweave.functions.keys import TreeSetting, prefix
+
+
+#: Cells made at once by a kernel.
+CELLS = 1 << 20
+
+
+def _keys(x: np.ndarray, s: TreeSetting) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, inside) of coordinates, as checked_key has them."""
+    cells = x / s.resolution
+    inside = (cells >= -s.offset) & (cells < s.offset)
+    return np.floor(np.where(inside, cells, 0)).astype(np.int64) + s.offset, inside
+
+
+def walk_cells(starts: np.ndarray, ends: np.ndarray, s: TreeSetting, include_end: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ray, step, keys) of the cells of rays (n, axes), about CELLS at once; rays with an end beyond the tree have none."""
+    (k0, in0), (k1, in1) = _keys(starts, s), _keys(ends, s)
+    some = np.flatnonzero((in0 & in1).all(1))
+    counts = np.abs(k1 - k0)[some].sum(1) + 1
+    part = np.cumsum(counts) // CELLS
+    for mine in np.split(some, np.flatnonzero(np.diff(part)) + 1):
+        if len(mine):
+            yield _walk(mine, starts[mine], ends[mine], k0[mine], k1[mine], s, include_end)
+
+
+def _walk(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, k0: np.ndarray, k1: np.ndarray, s: TreeSetting, include_end: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n, axes = starts.shape
+    toward = np.where(k1 >= k0, 1, -1)
+    ray, t, axis, number = [np.arange(n)], [np.full(n, -np.inf)], [np.full(n, -1)], [np.full(n, -1)]  # each ray's own cell comes first
+    for j in range(axes):
+        m = np.abs(k1[:, j] - k0[:, j])
+        of = np.repeat(np.arange(n), m)
+        i = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        border = k0[of, j] - s.offset + (k1[of, j] >= k0[of, j]) + toward[of, j] * i
+        ray.append(of)
+        t.append((border * s.resolution - starts[of, j]) / (ends[of, j] - starts[of, j]))
+        axis.append(np.full(len(of), j))
+        number.append(i)
+    ray, t, axis, number = (np.concatenate(x) for x in (ray, t, axis, number))
+    order = np.lexsort((number, -axis if axes == 2 else axis, t, ray))
+    ray, axis = ray[order], axis[order]
+    first = np.searchsorted(ray, np.arange(n))
+    step = np.arange(len(ray)) - first[ray]
+    keys = np.empty((len(ray), axes), np.int64)
+    for j in range(axes):
+        crossed = np.cumsum(axis == j)
+        keys[:, j] = k0[ray, j] + toward[ray, j] * (crossed - crossed[first][ray])
+    if not include_end:
+        last = np.append(ray[1:] != ray[:-1], True)
+        ray, step, keys = ray[~last], step[~last], keys[~last]
+    return ids[ray], step, keys
+
+
+def _floats(b: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    return np.stack([b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns], 1)
 
 
 def ray_cells(rays: DataFrame, starts: list[str], ends: list[str], s: TreeSetting, include_end: bool = False) -> DataFrame:
     """All columns of rays with step and a key for each axis (kx, ky[, kz]), a row for each cell from the start's to before the end's.
 
     A ray within one cell has no cells (its one cell with include_end); rays that leave the tree have none.
-    A crossing's place in the order of all crossings less its number on its own axis is the other axis's count, so
-    each row's key is arithmetic on its own crossing; a third axis is merged in after the first two.
     """
-    axes = len(starts)
-    names = ["kx", "ky", "kz"][:axes]
-    ranks = {2: [1, 0], 3: [0, 1, 2]}[axes]  # ties: y before x in the plane, x, y, z in space
-    keyed = rays.select("*", *[checked_key(c, s).alias(f"_s{i}") for i, c in enumerate(starts)], *[checked_key(c, s).alias(f"_e{i}") for i, c in enumerate(ends)])
-    k0, k1 = [F.col(f"_s{i}") for i in range(axes)], [F.col(f"_e{i}") for i in range(axes)]
-    for c in [*k0, *k1]:
-        keyed = keyed.filter(c.isNotNull())
-    lists = [_crossings(F.col(a), F.col(b), k0[i], k1[i], ranks[i], s) for i, (a, b) in enumerate(zip(starts, ends, strict=True))]
-    plane = keyed.withColumn("_xy", F.array_sort(F.concat(lists[0], lists[1])))
-    numbered = F.transform("_xy", lambda e, q: F.struct(e["t"].alias("t"), e["rank"].alias("rank"), e["i"].alias("i"), q.alias("q")))
-    if axes == 3:
-        rest = F.transform(lists[2], lambda e: F.struct(e["t"].alias("t"), e["rank"].alias("rank"), e["i"].alias("i"), F.lit(-1).alias("q")))
-        numbered = F.array_sort(F.concat(numbered, rest))
-    moved = plane.withColumn("_c", numbered)
-    count = F.size("_c") + (1 if include_end else 0)
-    none = F.struct(F.lit(-1.0).alias("t"), F.lit(-1).alias("rank"), F.lit(-1).alias("i"), F.lit(-1).alias("q"))
-    cells = moved.withColumn("_n", count).select(*rays.columns, *k0, *k1, "_n", "_xy", F.posexplode(F.concat(F.array(none), "_c")).alias("step", "_e")).filter("step < _n")
-    i, q, p, rank = F.col("_e.i"), F.col("_e.q"), F.col("step") - 1, F.col("_e.rank")
-    if axes == 2:
-        own, other = i + 1, p - i
-        counts = [F.when(rank == ranks[0], own).otherwise(other), F.when(rank == ranks[1], own).otherwise(other)]
-    else:
-        before = F.when(rank == 2, p - i).otherwise(q + 1)  # crossings of the first two axes so far
-        last = F.when(before > 0, F.element_at("_xy", F.when(before > 0, before).otherwise(1)))
-        x = F.when(before <= 0, 0).otherwise(F.when(last["rank"] == 0, last["i"] + 1).otherwise(before - last["i"] - 1))
-        counts = [x, before - x, F.when(rank == 2, i + 1).otherwise(p - q)]
-    toward = [F.when(b >= a, 1).otherwise(-1) for a, b in zip(k0, k1, strict=True)]
-    return cells.select(*rays.columns, "step", *[(k0[j] + toward[j] * F.when(F.col("step") == 0, 0).otherwise(counts[j])).cast("int").alias(n) for j, n in enumerate(names)])
+    names = ["kx", "ky", "kz"][: len(starts)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ray, step, keys in walk_cells(_floats(b, starts), _floats(b, ends), s, include_end):
+                rows = b.take(pa.array(ray))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(step.astype(np.int32)), *(pa.array(keys[:, j].astype(np.int32)) for j in range(len(names)))], [*rows.schema.names, "step", *names])
+
+    schema = StructType([*rays.schema.fields, *(StructField(c, IntegerType()) for c in ("step", *names))])
+    return rays.mapInArrow(run, schema)
+
+
+def crossed_cells(rays: DataFrame, by: str, starts: list[str], ends: list[str], s: TreeSetting) -> DataFrame:
+    """by (a whole number), kx, ky[, kz]: the cells that rays cross, each once for about CELLS cells made, so that little is shuffled."""
+    names = ["kx", "ky", "kz"][: len(starts)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = b.column(0).to_numpy(zero_copy_only=False)
+            for ray, _, keys in walk_cells(_floats(b, starts), _floats(b, ends), s):
+                code = keys[:, 0]
+                for j in range(1, len(names)):
+                    code = code << 20 | keys[:, j]
+                order = np.lexsort((code, of[ray]))
+                code, frame = code[order], of[ray][order]
+                fresh = np.concatenate([[True], (code[1:] != code[:-1]) | (frame[1:] != frame[:-1])]) if len(code) else np.zeros(0, bool)
+                code, frame = code[fresh], frame[fresh]
+                parts = [(code >> 20 * (len(names) - 1 - j) & 0xFFFFF).astype(np.int32) for j in range(len(names))]
+                yield pa.RecordBatch.from_arrays([pa.array(frame), *map(pa.array, parts)], [by, *names])
+
+    return rays.select(F.col(by).cast("long").alias(by), *starts, *ends).mapInArrow(run, f"`{by}` long, " + ", ".join(f"{k} int" for k in names))
 
 
 def cell_coordinates(cells: DataFrame, s: TreeSetting, axes: int = 2) -> DataFrame:

@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from orbweave.functions.keys import TreeSetting, at_depth, centre, checked_key, in_tree, morton, node_size, prefix, tile
 from orbweave.operators.fold import clamp, fold
-from orbweave.operators.rays import ray_cells, search_cells
+from orbweave.operators.rays import crossed_cells, ray_cells, search_cells
+
+
+#: Leaves in a group of a kernel, about.
+GROUP = 1 << 20
 
 
 def axes_of(df: DataFrame) -> list[str]:
@@ -63,7 +67,7 @@ def first_points(points: DataFrame, coords: list[str], s: TreeSetting, frame: st
 def scan_updates(points: DataFrame, coords: list[str], origin: list[str], s: TreeSetting, frame: str = "frame", index: str = "pt_idx", min_range: float = 0.0, max_range: float = -1.0, discretise: bool = False, box: tuple[list[float], list[float]] | None = None) -> DataFrame:
     """frame, keys, occupied: what each frame says of each cell, once. A cell that is both hit and crossed is hit.
 
-    Rays are cut at max_range. Hits and crossings are one grouping by (frame, cell) with partial aggregation, which does what a
+    frame is a whole number. Rays are cut at max_range. Cells are made distinct where rays are; hits and crossings are one grouping by (frame, cell) with partial aggregation, which does what a
     distinct and an anti join would do in three shuffles.
     """
     names = ["kx", "ky", "kz"][: len(coords)]
@@ -73,7 +77,7 @@ def scan_updates(points: DataFrame, coords: list[str], origin: list[str], s: Tre
     cut = points.withColumn("_r", F.sqrt(sum(((F.col(c) - F.col(o)) ** 2 for c, o in zip(coords, origin, strict=True)), F.lit(0.0))))
     scale = F.least(F.lit(1.0), F.lit(float(max_range)) / F.when(F.col("_r") > 0, F.col("_r"))) if max_range > 0 else F.lit(1.0)
     ends = cut.select(frame, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(origin)], *[(F.col(o) + (F.col(c) - F.col(o)) * F.coalesce(scale, F.lit(1.0))).alias(f"_c{i}") for i, (c, o) in enumerate(zip(coords, origin, strict=True))])
-    crossed = ray_cells(ends, [f"_o{i}" for i in range(len(coords))], [f"_c{i}" for i in range(len(coords))], s).select(frame, *names, F.lit(0).alias("hit"))
+    crossed = crossed_cells(ends, frame, [f"_o{i}" for i in range(len(coords))], [f"_c{i}" for i in range(len(coords))], s).select(frame, *names, F.lit(0).alias("hit"))
     return hits.unionByName(crossed).groupBy(frame, *names).agg((F.max("hit") == 1).alias("occupied"))
 
 
@@ -195,8 +199,8 @@ def prune(leaves: DataFrame, s: TreeSetting, lowest: int = 1, tile_depth: int |
     at = max(lowest, min(at, s.depth - 1))
     kind = "d int, " + ", ".join(f"{k} int" for k in names) + ", log_odds double"
     rows = leaves.select(F.col("d").cast("int").alias("d"), *names, F.col("log_odds").cast("double").alias("log_odds"))
-    # a group is some tiles: as many groups as shuffles have partitions
-    groups = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a group is some tiles, of GROUP leaves on average; no fewer groups than shuffles have partitions
+    groups = max(int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-leaves.count() // GROUP))
     deep = rows.filter(F.col("d") >= at).withColumn("_tile", F.pmod(F.hash(tile(morton(names), n, at, s)), F.lit(groups)))
     below = _merge_siblings(names, s.depth, s.depth, at)
     merged = deep.groupBy("_tile").applyInArrow(lambda t: below(t.drop(["_tile"])), kind)
