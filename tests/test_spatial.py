@@ -340,3 +340,62 @@ def test_queries_against_sql(spark, sf_dir, name):
     at = [[d[0] for d in answer.description].index(c) for c in got.columns]
     order = lambda rows: sorted((tuple(round(r[i], 5) + 0.0 if isinstance(r[i], float) else r[i] for i in range(len(r))) for r in rows), key=str)
     assert order(tuple(r) for r in got.collect()) == order(tuple(r[i] for i in at) for r in answer.fetchall())
+
+
+def test_keys_of_coordinates_beyond_the_tree(spark):
+    from orbweave.functions import keys
+
+    s = keys.TreeSetting(resolution=0.25, depth=8)
+    values = [1e9, 1e300, float("inf"), float("-inf"), float("nan"), None, -32.0, 31.99, 32.0]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.k for r in df.select(keys.checked_key("x", s).alias("k")).collect()] == [None] * 6 + [0, 255, None]
+    rays_df = df.select(F.lit(0.1).alias("a"), F.lit(0.1).alias("b"), F.col("x").alias("c"), F.lit(0.2).alias("d"))
+    assert rays.ray_cells(rays_df, ["a", "b"], ["c", "d"], s).select("c").distinct().count() == 2
+
+
+def test_large_surfaces_meet_through_cells(spark, monkeypatch):
+    from orbweave.operators import surface
+    from orbweave.plans.tables import lines, marks
+
+    def answers():
+        p, wall = marks(spark, "/root/testdata/sf0.001"), lines(spark, "/root/testdata/sf0.001")
+        inside = sorted(tuple(r) for r in surface.points_in_polygons(p, "pt_idx", wall).collect())
+        return inside, {r.pt_idx: (round(r.sdf, 9), r.obj_id, r.line_id) for r in surface.signed_distance(p, "pt_idx", wall).collect()}
+
+    few = answers()
+    monkeypatch.setattr(surface, "BROADCAST", 0)
+    assert answers() == few
+
+
+def test_late_frames_of_a_stream(spark, tmp_path):
+    from orbweave.streaming.ingest import Snapshots, stateful_cells
+
+    s = K.TreeSetting(resolution=0.25, depth=8)
+    batches = [[(1, 5, 5, 0.85), (3, 5, 5, 0.85), (3, 6, 5, -0.4)], [(2, 5, 5, -9.0), (4, 5, 5, -0.4), (4, 6, 5, -0.4)]]
+    schema = "frame long, kx int, ky int, delta double"
+    kept = Snapshots(spark, str(tmp_path / "map"), s)
+    for i, b in enumerate(batches):
+        df = spark.createDataFrame(b, schema)
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/part{i}"))
+        kept.merge(df, i)
+    want = {(5, 5): (1.3, 4), (6, 5): (-0.8, 4)}
+    assert {(r.kx, r.ky): (round(r.log_odds, 6), r.frame) for r in kept.read(1).collect()} == want
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    query = stateful_cells(stream, s).writeStream.format("memory").queryName("cells").outputMode("update").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    last = {}
+    for r in spark.table("cells").orderBy("frame").collect():
+        last[r.kx, r.ky] = (round(r.log_odds, 6), r.frame)
+    assert last == want and spark.table("cells").agg(F.sum("late")).first()[0] == 1
+
+
+def test_frames_are_numbered_over_many_splits(spark, tmp_path):
+    from orbweave.sources import maps
+
+    (tmp_path / "t.csv").write_text("# poses\n" + "\n".join(f"{i},{i * 2}" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        got = maps.read_trajectory(spark, str(tmp_path / "t.csv"), "2d").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.frame_id, r.tx) for r in got) == [(i, float(i)) for i in range(5000)]
