@@ -111,9 +111,12 @@ def _key(doc: int | None, text: bytes | None) -> int:
 
 
 def candidate_windows(docs: DataFrame, bloom: Bloom, id_col: str, text_col: str, window: int, buckets: int) -> DataFrame:
-    """bucket, blob: (hash, more hash, key, start) of every window that holds a perhaps repeated anchor."""
+    """bucket, blob: (hash, more hash, key, start) of windows that hold a perhaps repeated anchor; bucket, found: (key, start) of repeats.
+
+    Of windows that are the same among about a million, which are repeats wherever else they are, one alone goes on to meet
+    others of its hash, so that a window of any frequency is a row for each million.
+    """
     length, bits = window - PERIOD + 1, bloom.bits
-    kind = np.dtype([("h", "<u8"), ("g", "<u4"), ("at", "<u4"), ("key", "<u8")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, filt, held = Hashes(), Bloom(bits), []
@@ -134,7 +137,7 @@ def candidate_windows(docs: DataFrame, bloom: Bloom, id_col: str, text_col: str,
                 continue
             of = np.searchsorted(starts, near, side="right") - 1
             keys = np.array([_key(*x) for x in zip(ids, texts, strict=True)], np.uint64)
-            rows = np.zeros(len(near), kind)
+            rows = np.zeros(len(near), _WINDOW_ROW)
             rows["h"] = window_hashes(h, window)[near]
             rows["g"] = window_hashes(mix(h ^ np.uint64(0xA0761D6478BD642F)), window)[near] & np.uint64(0xFFFFFFFF)
             rows["at"], rows["key"] = near - starts[of], keys[of]
@@ -147,10 +150,33 @@ def candidate_windows(docs: DataFrame, bloom: Bloom, id_col: str, text_col: str,
     def out(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if held:
             rows = np.concatenate(held)
+            rows = rows[np.lexsort((rows["g"], rows["h"]))]
+            same = (rows["h"][1:] == rows["h"][:-1]) & (rows["g"][1:] == rows["g"][:-1])
+            again = np.concatenate([[False], same])
+            repeats = _marks(rows[again | np.concatenate([same, [False]])])
+            rows = rows[~again]
             parts = list(split_by(buckets_of(rows["h"], buckets), rows))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int64()), pa.array([v.tobytes() for _, v in parts], pa.binary())], ["bucket", "blob"])
+            known = list(split_by(buckets_of(repeats["key"], buckets), repeats))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([b for b, _ in parts + known], pa.int64()),
+                    pa.array([v.tobytes() for _, v in parts] + [None] * len(known), pa.binary()),
+                    pa.array([None] * len(parts) + [v.tobytes() for _, v in known], pa.binary()),
+                ],
+                ["bucket", "blob", "found"],
+            )
+
+    return docs.select(F.col(id_col).cast("long"), as_bytes(text_col)).mapInArrow(run, "bucket long, blob binary, found binary")
+
+
+_WINDOW_ROW = np.dtype([("h", "<u8"), ("g", "<u4"), ("at", "<u4"), ("key", "<u8")])
+_MARK = np.dtype([("key", "<u8"), ("at", "<u4")])
+
 
-    return docs.select(F.col(id_col).cast("long"), as_bytes(text_col)).mapInArrow(run, "bucket long, blob binary")
+def _marks(rows: np.ndarray) -> np.ndarray:
+    found = np.zeros(len(rows), _MARK)
+    found["key"], found["at"] = rows["key"], rows["at"]
+    return found
 
 
 def repeated_windows(blobs: DataFrame, groups: int) -> DataFrame:
@@ -158,21 +184,18 @@ def repeated_windows(blobs: DataFrame, groups: int) -> DataFrame:
 
     A bucket of hashes sends what it found as one blob for each group of keys, not a row for each document.
     """
-    kind = np.dtype([("h", "<u8"), ("g", "<u4"), ("at", "<u4"), ("key", "<u8")])
-    mark = np.dtype([("key", "<u8"), ("at", "<u4")])
 
     def find(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, kind) for x in table.column("blob").to_pylist()])
+        rows = np.concatenate([np.zeros(0, _WINDOW_ROW), *(np.frombuffer(x, _WINDOW_ROW) for x in table.column("blob").to_pylist() if x)])
         rows = rows[np.lexsort((rows["g"], rows["h"]))]
         same = (rows["h"][1:] == rows["h"][:-1]) & (rows["g"][1:] == rows["g"][:-1])
         rows = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(rows) > 1 else rows[:0]
-        found = np.zeros(len(rows), mark)
-        found["key"], found["at"] = rows["key"], rows["at"]
+        found = np.concatenate([_marks(rows), *(np.frombuffer(x, _MARK) for x in table.column("found").to_pylist() if x)])
         parts = list(split_by(buckets_of(found["key"], groups), found))
         return pa.table({"keys": pa.array([k for k, _ in parts], pa.int64()), "found": pa.array([x.tobytes() for _, x in parts], pa.binary())})
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, mark) for x in table.column("found").to_pylist()])
+        rows = np.concatenate([np.frombuffer(x, _MARK) for x in table.column("found").to_pylist()])
         rows = rows[np.lexsort((rows["at"], rows["key"]))]
         rows = rows[np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["at"][1:] != rows["at"][:-1])])]
         keys, first = np.unique(rows["key"], return_index=True)
