@@ -7,8 +7,8 @@ else. The map has as many rows as there are slots, whatever the input, so it is
 
 All of it is DataFrame operations. Texts are read once; what is shuffled is a narrow table, by slot.
 
-Defined cases: a null text has size 1 and checksum 0, as an empty one; a null id hashes as null; repeated
-rows are separate records in the same slot; an empty table gives no rows; other columns aren't read.
+Defined cases: a null text has size 1 and checksum 0, as an empty one; rows without an id are dealt by
+their texts, so that they aren't one slot; repeated rows are separate records in the same slot; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ SLOTS, SHARDS = 4096, 8
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32 and the virtual slot of each row."""
     text = text_or_empty(text_col)
-    slot = F.pmod(F.xxhash64(F.col(id_col), F.lit("slot")), F.lit(slots)).cast("int")
+    named = F.xxhash64(F.col(id_col), F.lit("slot"))
+    slot = F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text, F.lit("slot"))).otherwise(named), F.lit(slots)).cast("int")
     return docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot.alias("vslot"))
 
 
