@@ -41,7 +41,7 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset figure foot
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th")}
 TAGS = "html body nav header footer aside article main section div p ul ol li form button table tr td h1 h2 h3 h4 blockquote pre figure figcaption a span details dialog head dl address".split()
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^<>\"']*<[^<>\"']*)>", re.S)
 _CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW}
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]{2,}")
@@ -86,10 +86,11 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
     while m := _TOKEN.search(page, at):
         text(m.start())
         at = m.end()
-        if not m[2]:
+        closing, name, attributes = m.groups()[:3] if m[2] else m.groups()[3:]
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if closing:
             node = now
             while node and node.tag != tag:
                 node = node.parent
@@ -99,7 +100,7 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
                 now = node.parent
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):  # what is within is no markup: only its own closing tag ends it
+            if not attributes.endswith("/"):  # what is within is no markup: only its own closing tag ends it
                 end = _CLOSING[tag].search(page, at)
                 if end:
                     at = end.end()
@@ -121,9 +122,9 @@ def parse(page: str) -> tuple[Node, list[tuple[Node, str | None]]]:
             pieces.append((now, None))
         if tag == "html":
             continue
-        tokens = attribute_tokens(m[3]) if m[3] else ()
+        tokens = attribute_tokens(attributes) if attributes else ()
         now = Node(tag, now, tokens, block)
-        if m[3].endswith("/") and tag not in ("a", "p", "div"):
+        if attributes.endswith("/") and tag not in ("a", "p", "div"):
             now = now.parent
     text(len(page))
     return root, pieces
