@@ -523,3 +523,82 @@ def test_shape_reads_the_whole_word():
     assert quality.shape("aB1-" * 20 + "x" * 90 + "9") == "aA0-" * 20 + "aa0"
     long = "Zx" * 40
     assert quality.features(long + "7 b", quality.Shapes()).tolist() != quality.features(long + "_ b", quality.Shapes()).tolist()
+
+
+def test_unrelated_sets_share_no_signature():
+    r = np.random.default_rng(12)
+    for similarity in ((85, 100), (80, 100)):
+        bands, seen = jaccard.Bands(similarity), collections.Counter()
+        for _ in range(2000):
+            s = np.unique(r.integers(0, 2**64, int(r.integers(5, 120)), dtype=np.uint64))
+            seen.update(set(bands.signatures(s).tolist()))
+        assert max(seen.values()) <= 4 and sum(v for v in seen.values() if v > 1) < 60
+
+
+def test_classes_cut_in_small_chunks(spark, monkeypatch):
+    """Families with and without a middle, cut so small that links go through pivots and across chunks."""
+    monkeypatch.setattr(jaccard, "CHUNK", 300)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    r = random.Random(13)
+    rows, words_of = [], [f"w{i}" for i in range(4000)]
+    for family in range(3):
+        base = r.sample(words_of, 120)
+        for k in range(30):
+            text = list(base)
+            for _ in range(r.randint(0, 4)):
+                text[r.randrange(120)] = r.choice(words_of)
+            rows.append((len(rows), " ".join(text)))
+        chain = list(base)  # each is near the one before alone
+        for k in range(12):
+            chain = [*chain[4:], *r.sample(words_of, 4)]
+            rows.append((len(rows), " ".join(chain)))
+    rows += [(len(rows) + i, " ".join(r.sample(words_of, r.randint(5, 30)))) for i in range(50)]
+    got = {x.doc_id: x.component_id for x in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, (80, 100)).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    up = list(range(len(rows)))
+    find = lambda x: x if up[x] == x else find(up[x])
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    assert got == {i: find(i) for i in range(len(rows))}
+    assert len(set(got.values())) < len(rows) - 60 and all(got[len(rows) - 1 - i] == len(rows) - 1 - i for i in range(50))
+
+
+def test_clashing_columns(spark, sf_dir):
+    """Columns named like internal ones come through as they are."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(120)
+    names = ["_id", "_label", "quality_score", "quality_predicted", "row_key", "row_doubt", "mix_key", "mix_copies", "mix_rows", "mix_copy", "key", "bucket", "n"]
+    for n in names:
+        docs = docs.withColumn(n, F.lit(-1.5))
+    docs = docs.unionByName(docs.limit(10)).cache()
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    for out in (quality.good_documents(docs, labels), exactdedup.distinct_documents(docs), jaccard.one_of_each(docs, 5, (80, 100)), mixing.mixed_documents(docs)):
+        rows = out.collect()
+        assert out.columns == docs.columns and rows and all(x[n] == -1.5 for x in rows for n in names)
+    scored = quality.classify(docs, labels)
+    assert scored.columns[-2:] == ["_quality_score", "_quality_predicted"]
+    assert exactdedup.dedup(docs).count() == hmm.score(docs).count() == docs.count()
+
+
+def test_html_of_broken_markup():
+    for page in ("<a '" * 20_000, "<a \"x" * 20_000, "<div <p>text</p>" * 500, "<" * 50_000):
+        html.parse(page)
+    _, pieces = html.parse("<div class='a>b' <p>one</p>")
+    assert "one" in [t for _, t in pieces]
+
+
+def test_windows_of_any_frequency(spark):
+    """A passage in every document, in copies too: one row of it goes on from each task, and all lose it."""
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(i, f"a{i} b{i} {passage} c{i}") for i in range(300)] + [(300, passage), (300, passage), (301, " ".join(f"q{i}" for i in range(60)))]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert all(x.n_removed == 50 for x in got if x.doc_id <= 300) and all(x.n_removed == 0 for x in got if x.doc_id == 301)
+
+
+def test_rows_without_ids_are_many_slots(spark):
+    rows = [(None, f"text {i}") for i in range(2000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"))[0].groupBy("shard").count().collect()
+    assert len(got) == 8 and max(x["count"] for x in got) < 300
