@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import math
 import re
 import uuid
@@ -61,6 +64,19 @@ def fresh(docs: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A kernel over batches that gives its memory back once it is done: Python workers live on, and would hold it through later stages."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
@@ -180,6 +196,7 @@ def build_bloom(df: DataFrame, column: str, n: int) -> Bloom:
     log2 = bloom_bits(n)
     part = 1 << 15  # bytes of a piece
 
+    @tidy
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << (log2 - 3), np.uint8)
         seen = False

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import SPACE, Bloom, build_bloom, join_skewed, keep_rows, materialise, row_key, rows_of
+from orbweave.llm.common import SPACE, Bloom, build_bloom, join_skewed, keep_rows, materialise, row_key, rows_of, tidy
 
 _DELETE = SPACE.encode()
 #: Blocks of a merged filter hold about so many fingerprints.
@@ -42,6 +42,7 @@ def fingerprint(norm: bytes) -> int:
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, n_chars, fp, sha, and rid, a number for each row."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             chars, fps, shas = [], [], []
@@ -92,6 +93,7 @@ def repeated_fingerprints(narrow: DataFrame, n: int) -> DataFrame:
     """fp, copies: the fingerprints that occur more than once, by merged filters."""
     q = max(0, int(np.ceil(np.log2(max(1, n / BLOCK)))) + 3)
 
+    @tidy
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filt = QuotientFilter(q)
         for b in batches:
@@ -119,6 +121,7 @@ def verified_texts(docs: DataFrame, repeated: Bloom, text_col: str = "text") ->
     """
     shared = repeated.bits
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bloom = Bloom(shared)
         for b in batches:

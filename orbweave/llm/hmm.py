@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Hashes, as_bytes, buckets_of, in_levels, lower_words, materialise, split_by
+from orbweave.llm.common import Hashes, as_bytes, buckets_of, in_levels, lower_words, materialise, split_by, tidy
 
 HOT, CLASSES, STATES, ROUNDS = 1 << 17, 256, 8, 3
 #: Words whose neighbours start the states, and the neighbours looked at.
@@ -85,6 +85,7 @@ _COUNTS = np.dtype([("h", "<u8"), ("c", "<i8"), ("s", "<u2")])
 def count_words(texts: DataFrame, buckets: int) -> DataFrame:
     """bucket, blob: sorted hashes of the words with counts and spelling classes; all words of all texts given."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, int] = {}
         for b in batches:
@@ -135,6 +136,7 @@ class Alphabet:
 
 
 def alphabet(vocabulary: DataFrame, train_docs: int, hot: int) -> Alphabet:
+    @tidy
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column("blob"):
@@ -156,6 +158,7 @@ def alphabet(vocabulary: DataFrame, train_docs: int, hot: int) -> Alphabet:
             cut = r.level
             break
 
+    @tidy
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in b.column("blob"):
@@ -205,6 +208,7 @@ def encode(docs: DataFrame, alpha: Alphabet, id_col: str, text_col: str) -> Data
     hot_words, first, end = alpha.hot, alpha.first_class, alpha.end
     names = ["doc_id", "held_out", "codes", "rare"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes_of, hashes = Codes({int(h): i for i, h in enumerate(hot_words)}, first), Hashes()
         for b in batches:
@@ -240,6 +244,7 @@ def context_counts(encoded: DataFrame, alpha: Alphabet) -> np.ndarray:
     """How often each of the SEEDS most frequent words has each of the CONTEXT most frequent before and after it."""
     seeds = min(SEEDS, len(alpha.hot))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((seeds, 2 * CONTEXT))
         for docs in _sequences(batches, 1_000_000):
@@ -374,6 +379,7 @@ def train_round(encoded: DataFrame, model: Model, share: np.ndarray, prior: floa
     """
     k, size = len(model.start), len(model.emit)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size + k + 2, k))
         for docs in _sequences(batches, 400_000):
@@ -416,6 +422,7 @@ def rare_sums(encoded: DataFrame, vocabulary: DataFrame, buckets: int) -> DataFr
     """rid, rare_log, rare_known: over a document's rare words, the sum of log10(count + 1), and how many have a count."""
     kind = np.dtype([("h", "<u8"), ("rid", "<i8")])
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for b in batches:
@@ -489,6 +496,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot:
     inside[first:end] = -np.log10(alpha.class_tokens + alpha.class_types + 1)
     known = np.concatenate([np.ones(first), np.zeros(CLASSES), [alpha.end_count > 0]])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 5000):

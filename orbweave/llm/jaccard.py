@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Bloom, Hashes, as_bytes, buckets_of, build_bloom, discard, join_skewed, keep_rows, lower_words, materialise, mix, row_key, rows_of, split_by, window_hashes
+from orbweave.llm.common import Bloom, Hashes, as_bytes, buckets_of, build_bloom, discard, join_skewed, keep_rows, lower_words, materialise, mix, row_key, rows_of, split_by, tidy, window_hashes
 from orbweave.llm.components import Union, connected_components
 
 #: Words in an n-gram, and the least similarity as a fraction.
@@ -153,6 +153,7 @@ def _blobs(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
 def describe_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, key, n (the set's size), node and histogram of every document."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(250_000)
         for b in batches:
@@ -170,6 +171,7 @@ def describe_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFr
 def sign(docs: DataFrame, n: int, similarity: tuple[int, int], buckets: int, text_col: str) -> DataFrame:
     """bucket, blob: (signature, node) of every set, once from each task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bands, seen, held, count = Hashes(250_000), Bands(similarity), set(), [], 0
         for b in batches:
@@ -259,6 +261,7 @@ _FULL = "bucket long, blob binary, heads binary, bins binary"
 def attach_sets(shared: DataFrame, nodes: DataFrame, groups: int, buckets: int) -> DataFrame:
     """bucket (of signatures), blob, heads, bins: shared signatures, and once for each piece the sizes and histograms of its sets."""
 
+    @tidy
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             heads = np.zeros(b.num_rows, _SET)
@@ -405,6 +408,7 @@ def candidate_sets(docs: DataFrame, members: Bloom, n: int, text_col: str) -> Da
     """node, feats: the sets that are in candidate classes, and a few others."""
     bits = members.bits
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, bloom, seen = Hashes(250_000), Bloom(bits), set()
         for b in batches:

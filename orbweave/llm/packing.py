@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import as_bytes, materialise, rows_of, words
+from orbweave.llm.common import as_bytes, materialise, rows_of, tidy, words
 
 WINDOW, END_ID = 2048, 1
 #: Remainders packed together.
@@ -57,7 +57,7 @@ class WordEncoder:
     whole tokenizer. A memo is emptied when it holds `limit` entries.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
@@ -98,6 +98,7 @@ def encoder(path: str) -> WordEncoder:
 def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: full windows, then the remainder if there is one."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         end = np.array([end_id], "<u4")

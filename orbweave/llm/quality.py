@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import as_bytes, fresh, words
+from orbweave.llm.common import as_bytes, fresh, tidy, words
 
 LABELLED, NEIGHBOURS, LATENT, FEATURES = 4096, 15, 48, 1024
 #: Rows whose crc32(doc_id as text) mod FOLDS is 0 are never learnt from.
@@ -73,6 +73,7 @@ def features(text: bytes | str | None, shapes: Shapes) -> np.ndarray:
 
 
 def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes, df = Shapes(), np.zeros(FEATURES + 1, np.int64)
         for b in batches:
@@ -129,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     df, n = document_frequencies(docs, text_col)
     weights = np.log1p(n / (1.0 + df)).astype(np.float32)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for b in batches:
@@ -151,6 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score_column(votes: Votes, text: Column, block: int = 512) -> Column:
     """The score of a text column, as an Arrow-batched function."""
 
+    @tidy
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shapes = Shapes()
         for texts in batches:

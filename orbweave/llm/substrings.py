@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import Bloom, Hashes, as_bytes, buckets_of, build_bloom, materialise, mix, rows_of, split_by, window_hashes, words
+from orbweave.llm.common import Bloom, Hashes, as_bytes, buckets_of, build_bloom, materialise, mix, rows_of, split_by, tidy, window_hashes, words
 
 WINDOW = 35
 #: Every difference modulo PERIOD is a difference of two members of COVER (a perfect difference set).
@@ -71,6 +71,7 @@ def anchors(docs: DataFrame, text_col: str, window: int, buckets: int) -> DataFr
     """bucket, hashes: the anchors of all documents, a blob for each bucket and a few hundred documents."""
     length = window - PERIOD + 1
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         held: list[np.ndarray] = []
@@ -118,6 +119,7 @@ def candidate_windows(docs: DataFrame, bloom: Bloom, id_col: str, text_col: str,
     """
     length, bits = window - PERIOD + 1, bloom.bits
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, filt, held = Hashes(), Bloom(bits), []
         for ids, texts in _chunks(batches):
@@ -233,6 +235,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = "doc_id long, n_words long, n_removed long, kept binary"
 
+    @tidy
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents without marks are done where they are; the others' texts travel to their marks."""
         filt = Bloom(marked)
@@ -250,6 +253,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ["doc_id", "n_words", "text", "key"],
             )
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], []]
