@@ -11,7 +11,8 @@ times its own within the class, (count + 1) / (tokens + words + 1), an exact mod
 that holds their counts. A rare word isn't a hot key, as all hot keys are in the alphabet.
 
 Counts, contexts and expected counts cover all training texts. Texts are read twice, once to count words and once to
-encode them in the shared folder; every later pass reads the codes. Training and scores both run over whole texts.
+encode them in the shared folder; every later pass reads the codes. For training, texts are cut into parts of about
+SEGMENT codes that overlap by one, so that every move and code counts once; scores run over whole texts.
 
 Defined cases: null and empty texts are the end alone; a null id is in training; repeated rows count twice and score alike;
 an empty table gives no rows; without any training text N and V are 0; other columns aren't read.
@@ -296,34 +297,42 @@ def first_model(alpha: Alphabet, contexts: np.ndarray, k: int) -> Model:
     return Model(np.full(k, 1 / k), np.full((k, k), 0.4 / k) + 0.6 * np.eye(k), emit / emit.sum(0))
 
 
-def bounded(docs: list[np.ndarray], area: int = AREA) -> Iterator[list[np.ndarray]]:
-    """The sequences from the longest on, in groups whose padded area (of SEGMENT codes a sequence at most) is bounded."""
-    held: list[np.ndarray] = []
-    for d in sorted(docs, key=len, reverse=True):
-        if held and (len(held) + 1) * min(len(held[0]), SEGMENT) > area:
-            yield held
-            held = []
-        held.append(d)
-    if held:
-        yield held
+def bounded(lengths: np.ndarray, area: int = AREA) -> Iterator[np.ndarray]:
+    """Numbers of the sequences from the longest on, in groups whose padded area (of SEGMENT codes a sequence at most) is bounded."""
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        n = max(1, area // min(int(lengths[order[at]]), SEGMENT))
+        yield order[at : at + n]
+        at += n
+
+
+def cut(docs: list[np.ndarray]) -> list[tuple[np.ndarray, bool]]:
+    """Parts of SEGMENT codes at most, each from the last code of the one before, and whether it begins a text."""
+    return [(d[i : i + SEGMENT], i == 0) for d in docs for i in range(0, max(1, len(d) - 1), SEGMENT - 1)]
 
 
-def expected_counts(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch's expected starts, moves and emissions over whole sequences, and their log-likelihood."""
+def expected_counts(docs: list[np.ndarray], model: Model, first: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch's expected starts, moves and emissions over sequences, and their log-likelihood.
+
+    first: which begin a text (all by default). The others begin at the code that their predecessor ends with: the move from it is
+    theirs, the code itself isn't counted again, and the states there are the model's in the long run.
+    """
     k = len(model.start)
     start, move, emit, fit = np.zeros(k), np.zeros((k, k)), np.zeros((len(model.emit), k)), 0.0
-    for part in bounded(docs):
-        s, m, e, f = _expected(part, model)
+    first = np.ones(len(docs), bool) if first is None else first
+    for part in bounded(np.array([len(d) for d in docs])):
+        s, m, e, f = _expected([docs[i] for i in part], model, first[part])
         start, move, fit = start + s, move + m, fit + f
         emit += e
     return start, move, emit, fit
 
 
-def _expected(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def _expected(docs: list[np.ndarray], model: Model, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """expected_counts() of sequences by falling length.
 
     Only the states at each segment's start are kept from the way there; on the way back a segment is run again,
-    so that memory doesn't grow with the square of anything and no move is lost at a segment's end.
+    so that memory is bounded by a segment's area.
     """
     lengths = np.array([len(d) for d in docs])
     k, n, longest = len(model.start), len(docs), int(lengths[0])
@@ -331,7 +340,8 @@ def _expected(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndar
     flat = np.concatenate(docs).astype(np.int64)
     starts = np.cumsum(lengths) - lengths
     active = np.searchsorted(-lengths, -np.arange(1, longest + 1), side="right").tolist()
-    now, before = np.tile(model.start.astype(np.float32), (n, 1)), []
+    long_run = np.linalg.matrix_power(model.move, 64)[0]
+    now, before = np.where(first[:, None], model.start, long_run).astype(np.float32), []
     for t in range((longest - 1) // SEGMENT * SEGMENT + 1):
         m = active[t]
         if t % SEGMENT == 0:
@@ -361,11 +371,13 @@ def _expected(docs: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndar
             alpha[t - a, :m] *= back[:m]  # is the posterior from here on
             back[:m] = alpha_back @ move.T
         of = np.arange(len(prior))[None, :] < np.array(active[a:b])[:, None]
+        if a == 0:
+            of[0] &= first
         post = alpha[of]
         emitted += np.stack([np.bincount(codes[of], post[:, j], len(emit)) for j in range(k)], 1)
         fit += float(np.log(scale[of]).sum())
         if a == 0:
-            started = alpha[0].sum(0)
+            started = alpha[0][first].sum(0)
     return started, moved * model.move, emitted, fit
 
 
@@ -383,7 +395,8 @@ def train_round(encoded: DataFrame, model: Model, share: np.ndarray, prior: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size + k + 2, k))
         for docs in _sequences(batches, 400_000):
-            started, moved, emitted, fit = expected_counts(docs, model)
+            parts = cut(docs)
+            started, moved, emitted, fit = expected_counts([p for p, _ in parts], model, np.array([f for _, f in parts]))
             total[:size] += emitted
             total[size : size + k] += moved
             total[size + k] += started
