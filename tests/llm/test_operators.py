@@ -300,6 +300,9 @@ def test_forward_is_the_sum_over_paths_and_training_climbs():
         fits.append(fit)
         assert emit.sum() == pytest.approx(sum(map(len, data)), rel=1e-4)
         m = hmm.Model(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    parts = hmm.cut(data)
+    start, move, emit, _ = hmm.expected_counts([p for p, _ in parts], m, np.array([f for _, f in parts]))
+    assert start.sum() == pytest.approx(21) and emit.sum() == pytest.approx(sum(map(len, data)), rel=1e-4) and move.sum() == pytest.approx(sum(len(d) - 1 for d in data), rel=1e-4)
     assert all(b >= a - 1e-2 for a, b in zip(fits, fits[1:], strict=False))
 
 
