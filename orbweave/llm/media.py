@@ -1,13 +1,14 @@
 """Operator 10: copies among images by local descriptors.
 
 Corners are found at several scales, turned to the direction of their patch's intensity centroid, and described by 256
-binary tests. Each of BANDS hash tables joins on its own BAND bits, drawn from all 256; pairs of images that share a cell
-are compared corner by corner, and linked if enough matched corners agree on one turn, scale and shift. The tables are
-not complete for the 40 bits that a match may differ in: a test holds their recall against brute force at 0.9 at least for
+binary tests on a patch of 31 x 31 pixels. Each of BANDS hash tables joins on its own BAND bits, drawn from all 256; pairs of
+images that share SHARED cells at least (a link has AGREE corners in common, each in all tables) are compared corner by corner, and
+linked if enough matched corners agree on one turn, scale and shift. The tables are not complete for the 40 bits that a match may differ in: a test holds their recall against brute force at 0.9 at least for
 each of contrast, brightness, noise, recompression, blur, resizing, turns by any angle and crops.
 
 Equal images are one node, so that any number of copies costs one. All distinct images of a cell are paired, in blocks of
-BLOCK a side, so that a task holds a bounded number of pairs however many share a cell. The strongest corners are taken
+BLOCK a side, so that a task holds a bounded number of pairs however many share a cell. To compare them, images are dealt
+into blocks of about MEETING corners: an image's corners go once to each pair of blocks that a pair of it lies in, not to each pair. The strongest corners are taken
 in each tile of at most TILE pixels a side, so that a crop of a small part of a large image keeps corners of its own.
 
 Images are binary PGM. Defined cases: null, empty or undecodable images have no corners and are linked with nothing, not
@@ -26,15 +27,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import buckets_of, join_skewed, materialise, rows_of, split_by
+from orbweave.llm.common import buckets_of, discard, join_skewed, materialise, rows_of, split_by, tidy
 from orbweave.llm.components import connected_components
 
-CORNERS, BANDS, BAND, REACH, SCALES = 24, 8, 48, 9, (1, 2)
+CORNERS, BANDS, BAND, SHARED, REACH, EDGE, SCALES = 24, 8, 48, 2, 15, 11, (1, 2)
 #: Bits of a match at most, corners that must agree, and the pixels by which they may be off.
 APART, AGREE, SLACK = 40, 6, 3.0
-TILE, BLOCK, BUCKET = 64, 512, 1 << 18
+TILE, BLOCK, BUCKET, MEETING = 64, 512, 1 << 20, 1 << 15
 #: Binary tests: pairs of places in a patch, from a fixed seed.
-_TESTS = np.clip(np.random.default_rng(11).normal(0, REACH / 2, (256, 2, 2)), -REACH, REACH)
+_TESTS = np.clip(np.random.default_rng(11).normal(0, 6.2, (256, 2, 2)), -REACH, REACH)
 _TURNS = 32
 #: The bits that each hash table joins on.
 _BITS = np.stack([np.random.default_rng(100 + j).permutation(256)[:BAND] for j in range(BANDS)])
@@ -87,7 +88,7 @@ def describe(image: np.ndarray, most: int = CORNERS) -> np.ndarray:
     out = []
     for s in SCALES:
         h, w = image.shape[0] // s, image.shape[1] // s
-        if min(h, w) < 2 * REACH + 8:
+        if min(h, w) < 2 * EDGE + 4:
             continue
         a = image[: h * s, : w * s].reshape(h, s, w, s).mean((1, 3))
         a = _smooth(a, 1)
@@ -98,9 +99,8 @@ def describe(image: np.ndarray, most: int = CORNERS) -> np.ndarray:
         around = np.stack([strong[1 + i : h - 1 + i, 1 + j : w - 1 + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
         top = np.zeros((h, w), bool)
         top[1:-1, 1:-1] = (peak > around.max(0)) & (peak > 1.0)
-        edge = REACH + 2
-        top[:edge] = top[-edge:] = False
-        top[:, :edge] = top[:, -edge:] = False
+        top[:EDGE] = top[-EDGE:] = False
+        top[:, :EDGE] = top[:, -EDGE:] = False
         y, x = np.nonzero(top)
         rows, columns = -(-h // TILE), -(-w // TILE)
         tile = y * rows // h * columns + x * columns // w
@@ -158,11 +158,11 @@ def corner_table(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
                 corners.append(b"" if image is None else describe(image).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(corners, pa.binary())], ["id", "node", "corners"])
 
-    return images.select(F.col(id_col).cast("long"), F.col(image_col)).mapInArrow(run, "id long, node long, corners binary")
+    return images.select(F.col(id_col).cast("long"), F.col(image_col)).mapInArrow(tidy(run), "id long, node long, corners binary")
 
 
 def candidate_pairs(nodes: DataFrame, buckets: int) -> DataFrame:
-    """a, b: pairs of images that share a cell of the tables."""
+    """a, b: pairs of images that share SHARED cells of the tables at least."""
     kind = np.dtype([("cell", "<u8"), ("node", "<i8")])
     places = np.uint64(1) << np.arange(BAND, dtype=np.uint64)
 
@@ -216,20 +216,47 @@ def candidate_pairs(nodes: DataFrame, buckets: int) -> DataFrame:
                     held.append(pairs)
                     n += len(pairs)
                     if n >= 1 << 19:
-                        yield distinct(held)
+                        yield counted(held)
                         held, n = [], 0
         if held:
-            yield distinct(held)
+            yield counted(held)
 
-    def distinct(held: list[np.ndarray]) -> pa.RecordBatch:
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.concatenate(held)
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])]
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        starts = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)]))
+        n = np.diff(np.append(starts, len(pairs)))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[starts, 0]), pa.array(pairs[starts, 1]), pa.array(n, pa.int64())], ["a", "b", "n"])
 
     cells = nodes.mapInArrow(send, "bucket long, blob binary")
     met = cells.groupBy("bucket").applyInArrow(meet, "members binary")
-    return met.mapInArrow(pair_up, "a long, b long").distinct()
+    shared = met.mapInArrow(pair_up, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return shared.filter(F.col("n") >= SHARED).select("a", "b")
+
+
+def agreeing(pairs: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
+    """The pairs (a, b) whose corners agree. Pairs of a pair of blocks meet with their images' corners, sorted, and are read as a stream."""
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    placed = pairs.select(F.least(at("a"), at("b")).alias("low"), F.greatest(at("a"), at("b")).alias("high"), "a", "b")
+    sent = placed.select("low", "high", F.col("a").alias("node")).unionByName(placed.select("low", "high", F.col("b").alias("node"))).distinct()
+    corners = sent.join(nodes.select("node", "corners"), "node").select("low", "high", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "corners")
+    both = corners.unionByName(placed.withColumn("corners", F.lit(None).cast("binary")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, {}
+        for batch in batches:
+            found = []
+            for low, high, a, b, blob in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "a", "b", "corners")), strict=True):
+                if (low, high) != here:
+                    here, held = (low, high), {}
+                if b is None:
+                    held[a] = np.frombuffer(blob, _KIND)
+                elif consensus(held[a], held[b], AGREE) >= AGREE:
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    dealt = both.repartition("low", "high").sortWithinPartitions("low", "high", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
@@ -238,17 +265,11 @@ def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> D
     known = table.filter("node is not null")
     nodes = materialise(known.groupBy("node").agg(F.any_value("corners").alias("corners"), F.min("id").alias("least"), F.count(F.lit(1)).alias("members")), "corner-nodes")
     n = rows_of(nodes)
-    corners = (nodes.agg(F.sum(F.octet_length("corners"))).first()[0] or 0) // _KIND.itemsize
-    pairs = candidate_pairs(nodes.select("node", "corners"), max(1, corners * BANDS // BUCKET))
-    first = nodes.select(F.col("node").alias("a"), F.col("corners").alias("first"))
-    second = nodes.select(F.col("node").alias("b"), F.col("corners").alias("second"))
-
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yes = [consensus(np.frombuffer(x, _KIND), np.frombuffer(y, _KIND), AGREE) >= AGREE for x, y in zip(b.column("first").to_pylist(), b.column("second").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(yes, pa.bool_())), b.column("b").filter(pa.array(yes, pa.bool_()))], ["a", "b"])
-
-    links = materialise(pairs.join(first, "a").join(second, "b").select("a", "b", "first", "second").mapInArrow(agree, "a long, b long"), "image-links")
+    several = nodes.filter(F.octet_length("corners") >= AGREE * _KIND.itemsize).select("node", "corners")
+    corners = (several.agg(F.sum(F.octet_length("corners"))).first()[0] or 0) // _KIND.itemsize
+    pairs = materialise(candidate_pairs(several, max(1, corners * BANDS // BUCKET)), "image-pairs")
+    links = materialise(agreeing(pairs, several, max(1, corners // MEETING)), "image-links")
+    discard(pairs)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     rooted = nodes.select("node", "least", "members").join(connected_components(links), "node", "left").select("node", "least", "members", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("nodes"))
