@@ -6,9 +6,9 @@ images that share SHARED cells at least (a link has AGREE corners in common, eac
 linked if enough matched corners agree on one turn, scale and shift. The tables are not complete for the 40 bits that a match may differ in: a test holds their recall against brute force at 0.9 at least for
 each of contrast, brightness, noise, recompression, blur, resizing, turns by any angle and crops.
 
-Equal images are one node, so that any number of copies costs one. All distinct images of a cell are paired, in blocks of
-BLOCK a side, so that a task holds a bounded number of pairs however many share a cell. To compare them, images are dealt
-into blocks of about MEETING corners: an image's corners go once to each pair of blocks that a pair of it lies in, not to each pair. The strongest corners are taken
+Equal images are one node, so that any number of copies costs one. Images are dealt into blocks of about MEETING corners,
+and each pair of blocks gets the cells that its images share, counts them and compares the pairs that share enough; pairs
+never become rows, and an image's corners go once to each pair of blocks. The strongest corners are taken
 in each tile of at most TILE pixels a side, so that a crop of a small part of a large image keeps corners of its own.
 
 Images are binary PGM. Defined cases: null, empty or undecodable images have no corners and are linked with nothing, not
@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.llm.common import buckets_of, discard, join_skewed, materialise, rows_of, split_by, tidy
-from orbweave.llm.components import connected_components
+from orbweave.llm.components import Union, connected_components
 
 CORNERS, BANDS, BAND, SHARED, REACH, EDGE, SCALES = 24, 8, 48, 2, 15, 11, (1, 2)
 #: Bits of a match at most, corners that must agree, and the pixels by which they may be off.
 APART, AGREE, SLACK = 40, 6, 3.0
-TILE, BLOCK, BUCKET, MEETING = 64, 512, 1 << 20, 1 << 15
+TILE, BUCKET, MEETING = 64, 1 << 20, 1 << 15
 #: Binary tests: pairs of places in a patch, from a fixed seed.
 _TESTS = np.clip(np.random.default_rng(11).normal(0, 6.2, (256, 2, 2)), -REACH, REACH)
 _TURNS = 32
@@ -161,8 +161,12 @@ def corner_table(images: DataFrame, id_col: str, image_col: str) -> DataFrame:
     return images.select(F.col(id_col).cast("long"), F.col(image_col)).mapInArrow(tidy(run), "id long, node long, corners binary")
 
 
-def candidate_pairs(nodes: DataFrame, buckets: int) -> DataFrame:
-    """a, b: pairs of images that share SHARED cells of the tables at least."""
+def shared_cells(nodes: DataFrame, buckets: int, blocks: int) -> DataFrame:
+    """low, high, two, more: for pairs of blocks of images, the cells that their images share.
+
+    A cell of two images is a pair in `two`; a larger one is in `more` as two counts and the images of each block, so that
+    a cell costs its images once a block, not its pairs.
+    """
     kind = np.dtype([("cell", "<u8"), ("node", "<i8")])
     places = np.uint64(1) << np.arange(BAND, dtype=np.uint64)
 
@@ -191,72 +195,115 @@ def candidate_pairs(nodes: DataFrame, buckets: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, kind) for x in table.column("blob").to_pylist()])
-        rows = rows[np.lexsort((rows["node"], rows["cell"]))]
+        home = rows["node"] % blocks
+        order = np.lexsort((rows["node"], home, rows["cell"]))
+        rows, home = rows[order], home[order]
         fresh = np.concatenate([[True], (rows["cell"][1:] != rows["cell"][:-1]) | (rows["node"][1:] != rows["node"][:-1])])
-        rows = rows[fresh]
+        rows, home = rows[fresh], home[fresh]
         starts = np.flatnonzero(np.concatenate([[True], rows["cell"][1:] != rows["cell"][:-1]]))
-        ends = np.append(starts[1:], len(rows))
-        several = ends - starts > 1
-        return pa.table({"members": pa.array([rows["node"][s:e].tobytes() for s, e in zip(starts[several].tolist(), ends[several].tolist(), strict=True)], pa.binary())})
-
-    def block_pairs(members: np.ndarray) -> Iterator[np.ndarray]:
-        """All pairs of ascending members, BLOCK x BLOCK of them at most at once."""
-        for i in range(0, len(members), BLOCK):
-            a = members[i : i + BLOCK]
-            for j in range(i, len(members), BLOCK):
-                b = members[j : j + BLOCK]
-                u, v = np.triu_indices(len(a), 1) if i == j else (x.ravel() for x in np.indices((len(a), len(b))))
-                yield np.stack([a[u], b[v]], 1)
-
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            for x in b.column(0):
-                for pairs in block_pairs(np.frombuffer(x.as_py(), np.int64)):
-                    held.append(pairs)
-                    n += len(pairs)
-                    if n >= 1 << 19:
-                        yield counted(held)
-                        held, n = [], 0
-        if held:
-            yield counted(held)
-
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.concatenate(held)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        starts = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)]))
-        n = np.diff(np.append(starts, len(pairs)))
-        return pa.RecordBatch.from_arrays([pa.array(pairs[starts, 0]), pa.array(pairs[starts, 1]), pa.array(n, pa.int64())], ["a", "b", "n"])
-
-    cells = nodes.mapInArrow(send, "bucket long, blob binary")
-    met = cells.groupBy("bucket").applyInArrow(meet, "members binary")
-    shared = met.mapInArrow(pair_up, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return shared.filter(F.col("n") >= SHARED).select("a", "b")
-
-
-def agreeing(pairs: DataFrame, nodes: DataFrame, blocks: int) -> DataFrame:
-    """The pairs (a, b) whose corners agree. Pairs of a pair of blocks meet with their images' corners, sorted, and are read as a stream."""
-    at = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    placed = pairs.select(F.least(at("a"), at("b")).alias("low"), F.greatest(at("a"), at("b")).alias("high"), "a", "b")
-    sent = placed.select("low", "high", F.col("a").alias("node")).unionByName(placed.select("low", "high", F.col("b").alias("node"))).distinct()
-    corners = sent.join(nodes.select("node", "corners"), "node").select("low", "high", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "corners")
-    both = corners.unionByName(placed.withColumn("corners", F.lit(None).cast("binary")))
+        sizes = np.diff(np.append(starts, len(rows)))
+        two = starts[sizes == 2]
+        out = [(divmod(k, blocks), x.tobytes(), b"") for k, x in split_by(home[two] * blocks + home[two + 1], np.stack([rows["node"][two], rows["node"][two + 1]], 1))]
+        more: dict[tuple[int, int], list[np.ndarray]] = {}
+        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            node, at = rows["node"][start : start + size], home[start : start + size]
+            cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            parts = list(zip(at[cut].tolist(), np.split(node, cut[1:]), strict=True))
+            for i, (low, first) in enumerate(parts):
+                if len(first) > 1:
+                    more.setdefault((low, low), []).extend([np.array([len(first), 0]), first])
+                for high, second in parts[i + 1 :]:
+                    more.setdefault((low, high), []).extend([np.array([len(first), len(second)]), first, second])
+        out.extend((k, b"", np.concatenate(x).astype("<i8").tobytes()) for k, x in more.items())
+        return pa.table(
+            {"low": pa.array([k[0] for k, _, _ in out], pa.int64()), "high": pa.array([k[1] for k, _, _ in out], pa.int64())}
+            | {"two": pa.array([x for _, x, _ in out], pa.binary()), "more": pa.array([x for _, _, x in out], pa.binary())}
+        )
+
+    cells = nodes.mapInArrow(tidy(send), "bucket long, blob binary")
+    return cells.groupBy("bucket").applyInArrow(meet, "low long, high long, two binary, more binary")
+
+
+def candidates(nodes: DataFrame, buckets: int, blocks: int) -> DataFrame:
+    """low, high, node, partners: in each pair of blocks, the images that share SHARED cells at least with one of `partners`, or are a partner.
+
+    Cells are counted in a table of one block by the other, whose size the blocks bound.
+    """
+
+    def count(table: pa.Table) -> pa.Table:
+        two = np.concatenate([np.frombuffer(x, "<i8") for x in table.column("two").to_pylist()]).reshape(-1, 2)
+        more = [np.frombuffer(x, "<i8") for x in table.column("more").to_pylist()]
+        lists = []
+        for x in more:
+            k = 0
+            while k < len(x):
+                m, n = x[k : k + 2].tolist()
+                first = x[k + 2 : k + 2 + m]
+                lists.append((first, x[k + 2 + m : k + 2 + m + n] if n else first))
+                k += 2 + m + n
+        left = np.unique(np.concatenate([two[:, 0], *(a for a, _ in lists)]))
+        right = np.unique(np.concatenate([two[:, 1], *(b for _, b in lists)]))
+        met = np.zeros((len(left), len(right)), np.uint8)
+        for a, b in lists:
+            here = np.ix_(np.searchsorted(left, a), np.searchsorted(right, b))
+            met[here] = np.minimum(met[here], SHARED - 1) + np.uint8(1)
+        i, j = np.searchsorted(left, two[:, 0]), np.searchsorted(right, two[:, 1])
+        for _ in range(SHARED):  # a pair that occurs again counts again
+            once = np.unique(np.stack([i, j], 1), axis=0, return_index=True)[1]
+            met[i[once], j[once]] = np.minimum(met[i[once], j[once]], SHARED - 1) + np.uint8(1)
+            again = np.ones(len(i), bool)
+            again[once] = False
+            i, j = i[again], j[again]
+        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+        enough = met >= SHARED
+        if low == high:
+            enough &= left[:, None] < right[None, :]
+        rows = dict.fromkeys(right[enough.any(0)].tolist(), b"")
+        rows |= {int(left[k]): right[enough[k]].tobytes() for k in np.flatnonzero(enough.any(1))}
+        n = len(rows)
+        return pa.table({"low": pa.array([low] * n, pa.int64()), "high": pa.array([high] * n, pa.int64()), "node": pa.array(list(rows), pa.int64()), "partners": pa.array(list(rows.values()), pa.binary())})
+
+    shared = shared_cells(nodes, buckets, blocks)
+    return shared.groupBy("low", "high").applyInArrow(count, "low long, high long, node long, partners binary")
+
+
+def links_of(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b, n: for each image of a pair of blocks, the image b that stands for those linked with it there and the number n of its links.
+
+    Rows are images, not pairs: links count where they are found, and of those that join images already joined only the count goes on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, {}
+        here, corners, partners = None, {}, {}
+
+        def found() -> pa.RecordBatch:
+            names = sorted(corners)
+            at = {x: k for k, x in enumerate(names)}
+            sets, degree = Union(len(names)), [0] * len(names)
+            for a, blob in partners.items():
+                for b in np.frombuffer(blob, "<i8").tolist():
+                    if consensus(corners[a], corners[b], AGREE) >= AGREE:
+                        sets.join(at[a], at[b])
+                        degree[at[a]] += 1
+                        degree[at[b]] += 1
+            yes = [k for k, n in enumerate(degree) if n]
+            columns = [[names[k] for k in yes], [names[sets.find(k)] for k in yes], [degree[k] for k in yes]]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "n"])
+
         for batch in batches:
-            found = []
-            for low, high, a, b, blob in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "a", "b", "corners")), strict=True):
+            for low, high, node, some, blob in zip(*(batch.column(c).to_pylist() for c in ("low", "high", "node", "partners", "corners")), strict=True):
                 if (low, high) != here:
-                    here, held = (low, high), {}
-                if b is None:
-                    held[a] = np.frombuffer(blob, _KIND)
-                elif consensus(held[a], held[b], AGREE) >= AGREE:
-                    found.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+                    if corners:
+                        yield found()
+                    here, corners, partners = (low, high), {}, {}
+                corners[node] = np.frombuffer(blob, _KIND)
+                if some:
+                    partners[node] = some
+        if corners:
+            yield found()
 
-    dealt = both.repartition("low", "high").sortWithinPartitions("low", "high", F.col("b").asc_nulls_first())
-    return dealt.mapInArrow(tidy(run), "a long, b long")
+    dealt = met.join(nodes.select("node", "corners"), "node").repartition("low", "high").sortWithinPartitions("low", "high")
+    return dealt.mapInArrow(tidy(run), "a long, b long, n long")
 
 
 def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> DataFrame:
@@ -267,11 +314,11 @@ def copies(images: DataFrame, id_col: str = "id", image_col: str = "image") -> D
     n = rows_of(nodes)
     several = nodes.filter(F.octet_length("corners") >= AGREE * _KIND.itemsize).select("node", "corners")
     corners = (several.agg(F.sum(F.octet_length("corners"))).first()[0] or 0) // _KIND.itemsize
-    pairs = materialise(candidate_pairs(several, max(1, corners * BANDS // BUCKET)), "image-pairs")
-    links = materialise(agreeing(pairs, several, max(1, corners // MEETING)), "image-links")
-    discard(pairs)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    rooted = nodes.select("node", "least", "members").join(connected_components(links), "node", "left").select("node", "least", "members", F.coalesce("root", "node").alias("root"))
+    met = materialise(candidates(several, max(1, corners * BANDS // BUCKET), max(1, corners // MEETING)), "image-candidates")
+    links = materialise(links_of(met, several), "image-links")
+    discard(met)
+    degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    rooted = nodes.select("node", "least", "members").join(connected_components(links.select("a", "b")), "node", "left").select("node", "least", "members", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("class_id"), F.count(F.lit(1)).alias("nodes"))
     named = materialise(join_skewed(rooted, smallest, "root", "nodes", n).join(degree, "node", "left").select("node", "members", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "image-classes")
     rows = table.select("id", "node", F.floor(F.octet_length("corners") / _KIND.itemsize).cast("long").alias("n_corners"))

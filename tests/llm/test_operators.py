@@ -423,7 +423,8 @@ def grey(a):
 
 def found_pairs(spark, corners):
     rows = [(i, c.tobytes()) for i, c in enumerate(corners)]
-    return {(x.a, x.b) for x in media.candidate_pairs(spark.createDataFrame(rows, "node long, corners binary"), 3).collect()}
+    met = media.candidates(spark.createDataFrame(rows, "node long, corners binary"), 3, 4).collect()
+    return {(min(x.node, b), max(x.node, b)) for x in met for b in np.frombuffer(x.partners, "<i8").tolist()}
 
 
 def test_image_candidates_against_brute_force(spark):
@@ -457,7 +458,7 @@ def test_image_candidates_against_brute_force(spark):
 
 def test_images_that_share_a_cell_are_all_paired(spark, monkeypatch):
     r = np.random.default_rng(6)
-    monkeypatch.setattr(media, "BLOCK", 16)  # several blocks a cell
+    monkeypatch.setattr(media, "MEETING", 512)  # several blocks a cell
     shared = np.concatenate([media.describe(grey(scene(r)))[:1]] * 3)
     shared["bits"][1:] = r.integers(0, 256, (2, 32))
     assert found_pairs(spark, [shared[k % 2 : k % 2 + 2] for k in range(90)]) == {(i, j) for i in range(90) for j in range(i + 1, 90)}
