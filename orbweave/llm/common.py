@@ -191,7 +191,8 @@ def build_bloom(df: DataFrame, column: str, n: int) -> Bloom:
     """A Bloom filter of the long column of df.
 
     Tasks send pieces of their bitmaps, which are joined by OR in groups of at most FEW tasks, level by level, before the
-    driver gets them; the driver holds 2**MOST_BITS bits at most, so what is broadcast later doesn't grow with the data.
+    driver gets them; the driver holds 2**MOST_BITS bits at most, so what is broadcast later doesn't grow with the data. It
+    gets the pieces by one job: they are as many as the filter's size has, not the data's, and a job a partition takes far longer.
     """
     log2 = bloom_bits(n)
     part = 1 << 15  # bytes of a piece
@@ -217,7 +218,7 @@ def build_bloom(df: DataFrame, column: str, n: int) -> Bloom:
     source = df.select(F.col(column).cast("long"))
     pieces = in_levels(source.mapInArrow(partial, "piece long, bits binary"), "piece", either, "piece long, bits binary")
     bits = np.zeros(1 << (log2 - 3), np.uint8)
-    for row in pieces.toLocalIterator():
+    for row in pieces.collect():
         bits[row.piece : row.piece + part] = np.frombuffer(row.bits, np.uint8)[: len(bits) - row.piece]
     return Bloom(bits)
 

@@ -64,7 +64,7 @@ def sum_parts(df: DataFrame, dtype: str) -> dict[int, np.ndarray]:
             total += np.frombuffer(x.as_buffer(), dtype)
         return pa.table({"part": table.column("part")[:1], "blob": pa.array([total.tobytes()], pa.binary())})
 
-    return {r.part: np.frombuffer(r.blob, dtype) for r in in_levels(df, "part", add, "part long, blob binary").toLocalIterator()}
+    return {r.part: np.frombuffer(r.blob, dtype) for r in in_levels(df, "part", add, "part long, blob binary").collect()}
 
 
 def _parts(values: np.ndarray) -> pa.RecordBatch:
