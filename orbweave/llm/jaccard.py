@@ -309,8 +309,10 @@ def candidate_links(full: DataFrame, similarity: tuple[int, int]) -> DataFrame:
         for x, y in pairs[sets.near(pairs[:, 0], pairs[:, 1], similarity)].tolist():
             union.join(x, y)
         done = set()
+        # members that are one class already stay one: nearly all signatures, as most copies link with the first
+        whole = np.array([union.find(x) for x in range(len(sets.node))], np.int64)[at]
         for s, c in zip(starts.tolist(), counts.tolist(), strict=True):
-            if c > 2:
+            if c > 2 and (whole[s : s + c] != whole[s]).any():
                 members = at[s : s + c]
                 key = members.tobytes()
                 if key not in done:
